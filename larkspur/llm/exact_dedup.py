@@ -143,6 +143,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     return result.select(clean("_id").alias("doc_id"), clean("_keep").alias("keep_id"), "group_size", (F.col("_id") == F.col("_keep")).alias("kept"), "text_sha256")
 
 
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay: one of each group, also of rows that repeat an id."""
+    stays = dedup(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha")).agg(F.count(F.lit(1)).alias("_stay_n"))
+    same = docs[id_col].cast("long").eqNullSafe(F.col("_stay_id")) & (F.sha2(normalised(docs[text_col]), 256) == F.col("_stay_sha"))
+    again = stays.where("_stay_n > 1")
+    if again.isEmpty():
+        return docs.join(stays, same, "left_semi")
+    single = docs.join(stays.where("_stay_n = 1"), same, "left_semi")
+    one = docs.join(again, same, "left_semi").select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("i"), F.sha2(normalised(F.col(text_col)), 256).alias("s"), F.length(text_col).alias("l"))
+    return single.unionByName(one.groupBy("i", "s").agg(F.max_by("row", F.coalesce("l", F.lit(0))).alias("row")).select("row.*"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

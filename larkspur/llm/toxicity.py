@@ -15,6 +15,7 @@ what reaches the driver does not grow with the corpus.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,6 +30,8 @@ SAMPLE, SEQUENCES, LEXICON = 6_000, 3_000, 2_000
 CHAIN = 64
 TOKEN = re.compile(r"[^\W\d_]+")
 ROUNDS, RATE = 120, 2.0
+#: Standard errors of the log odds, and share of the toxic documents, that make a token a toxic one.
+CERTAIN, SUPPORT = 2.6, 0.04
 
 
 def held_out(doc_id):
@@ -83,9 +86,9 @@ class Chain:
                 pairs[a, b] = np.exp(np.where(both, x, -np.inf)).sum()
         return toxic, pairs, z
 
-    def fit_tokens(self, chains: list[list[str]], toxic: list[bool]) -> None:
+    def fit_tokens(self, chains: list[list[str]], marked: list[bool]) -> None:
         tokens, lens = self.pad([[self.lexicon.get(w, -1) + 1 for w in c] for c in chains])
-        state = (tokens > 0) & np.array(toxic)[:, None]
+        state = (tokens > 0) & np.array(marked)[:, None]
         inside = np.arange(tokens.shape[1])[None, :] < lens[:, None]
         seen = np.bincount(tokens[state], minlength=len(self.emit)).astype(float)
         s = state.astype(int)
@@ -169,12 +172,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for t, y in zip(batch["text"], batch["label"], strict=True):
                 w = sorted(set(TOKEN.findall(t.as_py().lower())))
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([y.as_py()] * len(w), pa.int32())], ["word", "label"])
-
-    seen = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(words, "word string, label int").groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (sizes[1] + 1)) - F.log((F.col("c") + 0.5) / (sizes[0] + 1))
-    least = max(3, sizes[1] // 100)
-    chosen = seen.where((F.col("t") >= least) & (odds > np.log(6))).orderBy(odds.desc(), "word").limit(LEXICON).collect()
+                # near copies mostly share their smallest word hash, and so count as one document
+                family = min((zlib.crc32(x.encode()) for x in w), default=0)
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([y.as_py()] * len(w), pa.int32()), pa.array([family] * len(w), pa.int64())], ["word", "label", "family"])
+
+    by_word = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(words, "word string, label int, family long").distinct()
+    seen = by_word.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
+    families = dict(by_word.select("label", "family").distinct().groupBy("label").count().collect())
+    toxic, clean = families.get(1, 0), families.get(0, 0)
+    odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
+    # surely more frequent in toxic documents, and common among them
+    sure = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) > CERTAIN
+    chosen = seen.where((F.col("t") >= max(3, SUPPORT * toxic)) & (odds > np.log(6)) & sure).orderBy(odds.desc(), "word").limit(LEXICON).collect()
     model.lexicon = {r["word"]: i for i, r in enumerate(sorted(chosen, key=lambda r: r["word"]))}
     model.emit = np.zeros(len(model.lexicon) + 1)
     lexicon = model.lexicon
