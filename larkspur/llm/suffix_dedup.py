@@ -186,8 +186,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         flat = np.concatenate([np.frombuffer(d, np.uint8, -1, 10 * n) for _, n, d in sent])
         lens, m = span + length, len(ids)
         table = np.zeros((m, room + length), np.uint8)
-        row = np.repeat(np.arange(m), lens)
-        table[row, np.arange(len(flat)) - np.repeat(np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.repeat(room - off, lens)] = flat
+        edge = np.concatenate([[0], np.cumsum(lens)])
+        for i in range(0, m, 8192):  # index arrays for a few pieces at a time
+            j = min(m, i + 8192)
+            at = np.arange(edge[i], edge[j])
+            row = np.repeat(np.arange(i, j), lens[i:j])
+            table[row, at - edge[row] + (room - off)[row]] = flat[edge[i] : edge[j]]
+        del flat
         masks = np.zeros(m, np.uint64)
         for column, order, common in columns(table, room + 1, length):
             whole = (room - off <= column) & (column <= room - off + span)
