@@ -89,7 +89,8 @@ class Pieces:
         i = np.flatnonzero(first)
         lo, hi, at = s[i], s[np.concatenate([i[1:], [len(s)]]) - 1], at[i]
         piece = B.ranges(sums, lo, hi + length) ^ ((at - lo).astype(np.uint64) * B.BASE)
-        return at + a, h[at], lo + a, hi + a, piece
+        # minimizers have small hashes: mixed once more they spread over all buckets
+        return at + a, B.mix(h[at]), lo + a, hi + a, piece
 
 
 def columns(pieces: np.ndarray, starts: int, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
