@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -102,14 +103,22 @@ def over(df: DataFrame, f: Callable[[int, int, bytes], Iterable[Row]], end: Call
     return df.mapInArrow(run, ROW)
 
 
-def together(df: DataFrame, f: Callable[[int, dict[int, list[tuple[int, int, bytes]]]], Iterable[Row]]) -> DataFrame:
-    """Rows that f(k, {tag: [(src, n, data)]}) makes of all rows of one block or bucket."""
+def together(df: DataFrame, f: Callable[[int, dict], Iterable[Row]], columns: tuple[int, ...] = ()) -> DataFrame:
+    """Rows that f(k, {tag: [(src, n, data)]}) makes of all rows of one block or bucket.
+
+    Rows of the tags in ``columns`` come as an Arrow table instead.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        by: dict[int, list[tuple[int, int, bytes]]] = {}
+        k = table["k"][0].as_py()
+        by: dict = {}
+        for tag in columns:
+            by[tag] = table.filter(pc.equal(table["tag"], tag))
+        if columns:
+            table = table.filter(pc.invert(pc.is_in(table["tag"], pa.array(columns, pa.int32()))))
         for tag, src, n, data in sorted(zip(*(table[c].to_pylist() for c in ("tag", "src", "n", "data")), strict=True), key=lambda r: r[:2]):
             by.setdefault(tag, []).append((src, n, data))
-        return pa.Table.from_batches([_batch(f(table["k"][0].as_py(), by))])
+        return pa.Table.from_batches([_batch(f(k, by))])
 
     return df.groupBy("k").applyInArrow(run, ROW)
 
