@@ -29,7 +29,7 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 PRE_TOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 #: Splits that never cut through a pre-token: a run without white space with the one space before it, or white space.
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
-CACHE = 150_000
+CACHE = 400_000
 
 
 def default_tokenizer() -> str:
