@@ -8,7 +8,8 @@ the longest text and then the smallest identifier is kept.  Rows look their
 digest up, and every hit is compared byte by byte with the row that stays; rows
 that differ in spite of an equal digest are grouped again by the bytes.
 
-A group of copies reaches compaction once per memtable, never once per row.
+A group of copies reaches compaction once per memtable, never once per row, and
+is looked up and verified in shares of about a thousandth of all rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from larkspur.llm import blocks as B
+from larkspur.llm.hot import join_index
 from larkspur.llm.scratch import Scratch
 
 MEMTABLE = 200_000
@@ -121,18 +123,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(B.NULL_ID)).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("length"), normalised(F.col(text_col)).alias("_norm"))
     keyed = read.withColumn("text_sha256", F.sha2("_norm", 256)).withColumn("digest", F.unhex("text_sha256") if digest is None else digest)
     rows = scratch.save(keyed.select("doc_id", "length", "text_sha256", "digest"), "rows")
-    hits = scratch.save(build_index(rows, rows.count(), memtable), "hits")
-    n_hits = hits.count()
-    near = F.broadcast(hits) if n_hits <= BROADCAST_ROWS else hits
-    # byte verification of every hit
-    members = scratch.save(keyed.join(near, "digest").select("digest", "doc_id", "length", "keep_id", "_norm"), "members")
-    keeper = members.where("doc_id = keep_id").groupBy("digest").agg(F.max("_norm").alias("_kept_norm"))
-    wrong = scratch.save(members.join(keeper, "digest").where("_norm <> _kept_norm").select("digest").distinct(), "wrong")
-    found = rows.join(hits, "digest", "left")
+    n_rows = rows.count()
+    hits = scratch.save(build_index(rows, n_rows, memtable), "hits")
+    small = hits.count() <= BROADCAST_ROWS
+
+    def look_up(r: DataFrame, how: str) -> DataFrame:
+        return r.join(F.broadcast(hits), "digest", how) if small else join_index(r, hits, "digest", "group_size", n_rows, "doc_id", how)
+
+    # byte verification of every hit; the text that stays goes to every share of a large group
+    members = scratch.save(look_up(keyed, "inner").select("digest", "doc_id", "length", "keep_id", "group_size", "_norm"), "members")
+    keeper = members.where("doc_id = keep_id").groupBy("digest").agg(F.max("_norm").alias("_kept_norm"), F.max("group_size").alias("group_size"))
+    compared = join_index(members.drop("group_size"), keeper, "digest", "group_size", n_rows, "doc_id")
+    wrong = scratch.save(compared.where("_norm <> _kept_norm").select("digest").distinct(), "wrong")
+    found = look_up(rows, "left")
     if wrong.isEmpty():
         answered = found
     else:
-        again = members.join(wrong, "digest", "left_semi")
+        again = members.drop("group_size").join(wrong, "digest", "left_semi")
         groups = again.groupBy("digest", "_norm").agg(F.min(F.struct(-F.col("length"), "doc_id")).getField("doc_id").alias("g_keep"), F.count(F.lit(1)).alias("g_size"))
         exact = again.join(groups, ["digest", "_norm"]).select("digest", "doc_id", F.sha2("_norm", 256).alias("text_sha256"), "g_keep", "g_size").distinct()
         answered = found.join(exact, ["digest", "doc_id", "text_sha256"], "left").withColumn("keep_id", F.coalesce("g_keep", "keep_id")).withColumn("group_size", F.coalesce("g_size", "group_size"))

@@ -180,6 +180,11 @@ def test_exact_dedup(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len({r[4] for r in exact_want(rows)})
 
 
+def test_exact_dedup_with_index_too_large_to_broadcast(docs, rows, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, exact_dedup.dedup(docs).collect()), key=key) == exact_want(rows)
+
+
 def test_exact_dedup_with_colliding_digests(docs, rows):
     one = F.unhex(F.lpad(F.hex(F.length("_norm") % 3), 64, "0"))
     assert sorted(map(tuple, exact_dedup.dedup(docs, digest=one).collect()), key=key) == exact_want(rows)
