@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.llm.blocks import NULL_ID, mix
 from larkspur.llm.components import components
+from larkspur.llm.hot import join_index
 from larkspur.llm.scratch import Scratch
 
 COSINE = 0.93
@@ -181,8 +182,9 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
                     yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(ids[x], k.shape[1] * k.shape[2])), pa.array(home.reshape(-1))], ["key", "id", "home"])
 
     cells = own.save(classes.select("id", "label", "vec").mapInArrow(spread, "key long, id long, home boolean"), "cells")
-    crowded = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home").select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    held = cells.join(crowded, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    crowded = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("home").alias("any_home")).where("n > 1 and any_home").select("key", "n", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    crowded = own.save(crowded, "crowded")
+    held = join_index(cells, crowded, "key", "n", cells.count(), "id").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     dealt = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("p", F.least("part", "other")).withColumn("q", F.greatest("part", "other"))
     full = dealt.join(classes.select("id", "label", "copies", "vec"), "id").select("key", "id", "home", "part", "p", "q", "label", "copies", "vec")
 
@@ -234,14 +236,15 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     # each cell part pair in one task, many of them in a task
     sorted_cells = full.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
     found = own.save(sorted_cells.mapInArrow(compare, "id long, links long, root long"), "found")
-    own.drop("cells")
+    own.drop("cells", "crowded")
     comp = components(found.select("id", "root"), own, "joined")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_class = classes.select("class", "id", "copies").join(links, "id", "left").join(comp.withColumnRenamed("v", "id").withColumnRenamed("root", "comp"), "id", "left").select("class", F.col("id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "comp")
-    done = keyed.select("id", "class").join(per_class, "class", "left")
+    per_class = own.save(per_class, "figures")
+    done = join_index(keyed.select("id", "class"), per_class, "class", "copies", rows.count(), "id", "left")
     component = F.coalesce("comp", "class_id", "id")
     result = own.save(done.select("id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), component.alias("component")), "result")
-    own.drop("classes", "found")
+    own.drop("classes", "found", "figures")
     clean = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
     return result.select(clean("id").alias("vec_id"), "n_links", clean("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 
