@@ -83,7 +83,10 @@ class Encoder:
         self.compatible: dict[tuple[int, int], bool] = {}
         self.pre = regex.compile(PRE_TOKEN)
         self.split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.cache: dict[str, tuple[int, str]] = {}
+        #: tokens by their bytes as Latin-1 text, bytes of a token beyond its first, and decimal ids
+        self.whole = {t.decode("latin-1"): i for t, i in by_bytes.items()}
+        self.beyond = [len(t) - 1 for t in self.tokens]
+        self.decimal = [str(i) for i in range(n)]
         self.ids: dict[str, list[int]] = {}
 
     def pair(self, a: int, b: int) -> bool:
@@ -115,23 +118,28 @@ class Encoder:
         self.compatible[a, b] = stays
         return stays
 
-    def piece(self, data: bytes) -> list[int]:
-        """Ids of one pre-token."""
-        text, n = data.decode("latin-1"), len(data)
+    def piece(self, text: str) -> list[int]:
+        """Ids of one pre-token, given as its bytes in Latin-1."""
+        one = self.whole.get(text)
+        if one is not None:
+            return [one]  # the first token tried, and nothing stands to its left
+        n, beyond, shorter, compatible, pair = len(text), self.beyond, self.shorter, self.compatible, self.pair
         longest = [-1] * n
         for end, i in self.find.iter(text):
-            start = end - len(self.tokens[i]) + 1
-            if longest[start] < 0 or len(self.tokens[longest[start]]) < len(self.tokens[i]):
-                longest[start] = i
+            longest[end - beyond[i]] = i  # ends ascend: the last one is the longest
         open_, out, at = bytearray(b"\1" * (n + 1)), [], 0
         token = longest[0] if n else -1
         while at < n:
-            left = out[-1] if out else None
+            left = out[-1] if out else -1
             while token >= 0:
-                end = at + len(self.tokens[token])
-                if open_[end] and (left is None or self.pair(left, token)):
-                    break
-                token = self.shorter[token]
+                end = at + beyond[token] + 1
+                if open_[end]:
+                    if left < 0:
+                        break
+                    stays = compatible.get((left, token))
+                    if pair(left, token) if stays is None else stays:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at = end
@@ -141,15 +149,17 @@ class Encoder:
                 raise ValueError("the vocabulary lacks a byte")
             open_[at] = 0
             token = out.pop()
-            at -= len(self.tokens[token])
-            token = self.shorter[token]
+            at -= beyond[token] + 1
+            token = shorter[token]
         return out
 
     def _chunk(self, chunk: str) -> list[int]:
-        ids: list[int] = []
-        for t in self.pre.findall(chunk):
-            ids += self.piece(t.encode())
-        return ids
+        if chunk.isascii():
+            # letters alone, or after one space, are a single pre-token
+            if chunk.isalpha() or (chunk[0] == " " and chunk[1:].isalpha()):
+                return self.piece(chunk)
+            return [i for t in self.pre.findall(chunk) for i in self.piece(t)]
+        return [i for t in self.pre.findall(chunk) for i in self.piece(t.encode().decode("latin-1"))]
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
@@ -191,7 +201,7 @@ def digests(e: Encoder, text: str | None) -> tuple[int, str, str]:
     rest = b""
     for i in range(0, len(ids), SLICE):
         part = ids[i : i + SLICE]
-        listed.update(("," * bool(i) + ",".join(map(str, part))).encode())
+        listed.update(("," * bool(i) + ",".join(map(e.decimal.__getitem__, part))).encode())
         raw = rest + e.decode(np.array(part, np.int64))
         # the decoded text is UTF-8 with replacement marks; an unfinished character waits for the next slice
         cut = len(raw)
