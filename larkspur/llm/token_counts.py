@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from larkspur.llm.bpe import default_tokenizer, encoder
+from larkspur.llm.scratch import Scratch
 
 SPAN = 1024
 
@@ -42,7 +43,9 @@ def suffix_sums(partial: DataFrame) -> DataFrame:
     quantiles and the total at any limit between two lengths follow (see
     :func:`truncated_total`, :func:`quantile`).  Empty input gives no rows.
     """
-    h = partial.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")).withColumn("part", F.floor(F.col("n_tokens") / SPAN)).withColumn("mass", F.col("n_tokens") * F.col("n_docs"))
+    # written once: both levels read it, and the texts must not be encoded again
+    histogram = Scratch(partial.sparkSession, "lengths").save(partial.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "histogram")
+    h = histogram.withColumn("part", F.floor(F.col("n_tokens") / SPAN)).withColumn("mass", F.col("n_tokens") * F.col("n_docs"))
     later = Window.orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     parts = h.groupBy("part").agg(F.sum("n_docs").alias("d"), F.sum("mass").alias("m")).select(

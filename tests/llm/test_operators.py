@@ -67,6 +67,9 @@ def test_bpe(docs, rows, empty):
         ids = t.encode(x or "", add_special_tokens=False).ids
         want.add((i, len(ids), sha(",".join(map(str, ids)).encode()), sha(t.decode(ids, skip_special_tokens=False).encode())))
     assert got == want and bpe.encode_documents(empty).count() == 0
+    e = bpe.encoder(bpe.default_tokenizer())
+    texts = [b.decode() for b in e.tokens if b == b.decode("utf-8", "ignore").encode()]
+    assert len(texts) > 40_000 and all(e.encode(x) == t.encode(x, add_special_tokens=False).ids for x in texts)
     one = bpe.token_ids(docs).where("doc_id = 1003").first()
     assert bpe.encoder(bpe.default_tokenizer()).decode(np.array(one.ids)) == b"One two"
 
