@@ -146,11 +146,14 @@ def bucket_of(hashes: np.ndarray, count: int) -> np.ndarray:
 
 def slices(sorted_hashes: np.ndarray, count: int) -> Iterator[tuple[int, int, int]]:
     """(bucket, from, to) of the non-empty buckets of ascending hashes."""
-    b = bucket_of(sorted_hashes, count)
-    edges = np.searchsorted(b, np.arange(count + 1, dtype=np.uint64))
-    for i in range(count):
-        if edges[i] < edges[i + 1]:
-            yield i, int(edges[i]), int(edges[i + 1])
+    return stretches(bucket_of(sorted_hashes, count))
+
+
+def stretches(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(key, from, to) of each key that occurs in ascending keys; the work does not grow with the keys there could be."""
+    if len(sorted_keys):
+        starts = np.concatenate([[0], np.flatnonzero(sorted_keys[1:] != sorted_keys[:-1]) + 1])
+        yield from zip(sorted_keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_keys)], strict=True)
 
 
 # --- which units does more than one block hold? -------------------------------
