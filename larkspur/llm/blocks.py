@@ -13,6 +13,7 @@ says what it is, ``src`` where it comes from, ``n`` a count, ``data`` the payloa
 
 from __future__ import annotations
 
+import ctypes
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
@@ -42,6 +43,36 @@ def expand(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a worker that waits for its next task would keep it for up to a minute."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """f for mapInArrow; what a task has freed is given back when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def tidy_group(f: Callable[[pa.Table], pa.Table]) -> Callable:
+    """f for applyInArrow; what a group has freed is given back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out = f(table)
+        give_back()
+        return out
+
+    return run
+
+
 class Block:
     """ids ascending (nulls last), null marks, offsets into buf."""
 
@@ -87,7 +118,7 @@ def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         return pa.Table.from_batches([_batch([(table["k"][0].as_py(), TEXT, 0, table.num_rows, data)])])
 
     keyed = docs.select(F.pmod(F.xxhash64(id_col), F.lit(count)).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
-    return keyed.groupBy("k").applyInArrow(pack, ROW), count, int(size["b"])
+    return keyed.groupBy("k").applyInArrow(tidy_group(pack), ROW), count, int(size["b"])
 
 
 def over(df: DataFrame, f: Callable[[int, int, bytes], Iterable[Row]], end: Callable[[], Iterable[Row]] | None = None) -> DataFrame:
@@ -100,7 +131,7 @@ def over(df: DataFrame, f: Callable[[int, int, bytes], Iterable[Row]], end: Call
         if end:
             yield _batch(end())
 
-    return df.mapInArrow(run, ROW)
+    return df.mapInArrow(tidy(run), ROW)
 
 
 def together(df: DataFrame, f: Callable[[int, dict], Iterable[Row]], columns: tuple[int, ...] = ()) -> DataFrame:
@@ -120,7 +151,7 @@ def together(df: DataFrame, f: Callable[[int, dict], Iterable[Row]], columns: tu
             by.setdefault(tag, []).append((src, n, data))
         return pa.Table.from_batches([_batch(f(k, by))])
 
-    return df.groupBy("k").applyInArrow(run, ROW)
+    return df.groupBy("k").applyInArrow(tidy_group(run), ROW)
 
 
 def grouped(df: DataFrame, f: Callable[[int, dict[int, list[tuple[int, int, bytes]]]], pa.Table], schema: str) -> DataFrame:
@@ -132,7 +163,7 @@ def grouped(df: DataFrame, f: Callable[[int, dict[int, list[tuple[int, int, byte
             by.setdefault(tag, []).append((src, n, data))
         return f(table["k"][0].as_py(), by)
 
-    return df.groupBy("k").applyInArrow(run, schema)
+    return df.groupBy("k").applyInArrow(tidy_group(run), schema)
 
 
 def buckets_for(size: int) -> int:

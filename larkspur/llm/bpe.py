@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from larkspur.llm import blocks as B
+
 # White space as Unicode defines it (fixed values of the pattern language).
 WHITE = r"\t-\r \x85\xa0  -     　"
 # The pre-token pattern that byte-level vocabularies of this family fix.
@@ -87,7 +89,9 @@ class Encoder:
         self.whole = {t.decode("latin-1"): i for t, i in by_bytes.items()}
         self.beyond = [len(t) - 1 for t in self.tokens]
         self.decimal = [str(i) for i in range(n)]
-        self.ids: dict[str, list[int]] = {}
+        #: one object per id and per single token, for all that is remembered
+        self.one = [(i,) for i in range(n)]
+        self.ids: dict[str, tuple[int, ...]] = {}
 
     def pair(self, a: int, b: int) -> bool:
         """Would a and b side by side stay as they are?
@@ -115,7 +119,7 @@ class Encoder:
                 limit, y = (self.rank[y], 2), self.parts[y][0]
         if len(self.compatible) > 2_000_000:
             self.compatible.clear()
-        self.compatible[a, b] = stays
+        self.compatible[self.one[a] + self.one[b]] = stays
         return stays
 
     def piece(self, text: str) -> list[int]:
@@ -175,7 +179,7 @@ class Encoder:
                     if len(chunk) <= 32:
                         if len(known) >= CACHE:
                             known.clear()
-                        known[chunk] = found
+                        known[chunk] = self.one[found[0]] if len(found) == 1 else tuple(self.one[i][0] for i in found)
                 ids += found
         return ids
 
@@ -229,7 +233,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(B.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
@@ -241,7 +245,7 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([e.encode(t.as_py() or "") for t in batch["text"]], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(B.tidy(run), "doc_id long, ids array<int>")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

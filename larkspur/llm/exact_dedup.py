@@ -106,7 +106,7 @@ def build_index(rows: DataFrame, n_rows: int, memtable: int = MEMTABLE) -> DataF
                         best[0], best[1] = n, i
         yield B._batch(_flush(table, flushed, count))
 
-    return B.grouped(rows.select("doc_id", "length", "digest").mapInArrow(run, B.ROW), _compact, HITS)
+    return B.grouped(rows.select("doc_id", "length", "digest").mapInArrow(B.tidy(run), B.ROW), _compact, HITS)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Column | None = None, memtable: int = MEMTABLE) -> DataFrame:

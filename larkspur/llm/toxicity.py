@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from larkspur.llm.blocks import tidy
 from larkspur.llm.scratch import Scratch
 
 SAMPLE, SEQUENCES, LEXICON = 6_000, 3_000, 2_000
@@ -176,7 +177,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 family = min((zlib.crc32(x.encode()) for x in w), default=0)
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([y.as_py()] * len(w), pa.int32()), pa.array([family] * len(w), pa.int64())], ["word", "label", "family"])
 
-    by_word = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(words, "word string, label int, family long").distinct()
+    by_word = rows.select("text", F.col("label").cast("int").alias("label")).mapInArrow(tidy(words), "word string, label int, family long").distinct()
     seen = by_word.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     families = dict(by_word.select("label", "family").distinct().groupBy("label").count().collect())
     toxic, clean = families.get(1, 0), families.get(0, 0)
@@ -200,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.string()))], ["doc_id", "label", "words"])
 
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label")).mapInArrow(chains, "doc_id long, label int, words array<string>").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SEQUENCES).collect()
+    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label")).mapInArrow(tidy(chains), "doc_id long, label int, words array<string>").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(SEQUENCES).collect()
     if found:
         model.fit_tokens([r["words"] for r in found], [r["label"] == 1 for r in found])
 
@@ -209,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             got = [model.read(t.as_py())[:2] for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["label"], pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], ["label", "total", "top"])
 
-    got = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(read, "label int, total double, top double").collect()
+    got = rows.select(F.col("label").cast("int").alias("label"), "text").mapInArrow(tidy(read), "label int, total double, top double").collect()
     y = np.array([r["label"] for r in got], float)
     x = np.array([[1.0, r["top"], np.log1p(r["total"])] for r in got])
     model.document = logistic(x, y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y), ridge=1.0)
@@ -235,7 +236,7 @@ def score_documents(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_
                 pa.array([[{"begin": a, "end": b} for a, b in s] for _, _, s in got], span),
             ], ["doc_id", "score", "n_toxic_tokens", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, n_toxic_tokens long, spans array<struct<begin:int,end:int>>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, score double, n_toxic_tokens long, spans array<struct<begin:int,end:int>>")
 
 
 def drop_toxic(docs: DataFrame, model: Chain, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -248,7 +249,7 @@ def drop_toxic(docs: DataFrame, model: Chain, text_col: str = "text", threshold:
         for batch in batches:
             yield batch.filter(pa.array([m.score(*m.read(t.as_py() or "")[:2]) < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
