@@ -21,3 +21,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["c_name", "o_totalprice"]
     assert set(q.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_join_int_float_takes_whole_tables(spark):
+    con = duckdb.connect()
+    orders = dict(con.sql(f"SELECT o_custkey, count(*) FROM '{DATA}/orders.parquet' GROUP BY 1").fetchall())
+    lines = con.sql(f"SELECT l_quantity, count(*) FROM '{DATA}/lineitem.parquet' GROUP BY 1").fetchall()
+    assert q.queries()["join_int_float"](spark, DATA).count() == sum(n * orders.get(int(x), 0) for x, n in lines if x == int(x)) > 0
