@@ -46,7 +46,7 @@ DIALECT = {
     "count_empty": "SELECT COUNT(*) AS cnt FROM lineitem WHERE l_quantity > 1000000",
     "count_default_name": "SELECT COUNT(*) FROM region",
     "join_inner": "SELECT o_orderkey, c_name FROM orders INNER JOIN customer ON orders.o_custkey = customer.c_custkey",
-    "join_project": "SELECT c.c_name AS customer_name, o.o_orderkey AS order_id FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_orderkey < 100",
+    "join_project": "SELECT c.c_name AS customer_name, o.o_orderkey AS order_id FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey",
     "join_where": "SELECT c.c_name, o.o_totalprice FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey WHERE o.o_totalprice >= 400000",
     "join_where_or": "SELECT c.c_custkey, o.o_orderkey FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey WHERE c.c_mktsegment = 'BUILDING' AND o.o_totalprice > 450000.0 OR o.o_orderkey <= 10",
     "join_int_widen": "SELECT s.s_name, n.n_name FROM supplier s INNER JOIN nation n ON s.s_nationkey = n.n_nationkey",

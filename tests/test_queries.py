@@ -28,3 +28,10 @@ def test_join_int_float_takes_whole_tables(spark):
     orders = dict(con.sql(f"SELECT o_custkey, count(*) FROM '{DATA}/orders.parquet' GROUP BY 1").fetchall())
     lines = con.sql(f"SELECT l_quantity, count(*) FROM '{DATA}/lineitem.parquet' GROUP BY 1").fetchall()
     assert q.queries()["join_int_float"](spark, DATA).count() == sum(n * orders.get(int(x), 0) for x, n in lines if x == int(x)) > 0
+
+
+def test_join_project_takes_whole_tables(spark):
+    orders = {i: c for i, c in duckdb.sql(f"SELECT o_orderkey, o_custkey FROM '{DATA}/orders.parquet'").fetchall()}
+    names = dict(duckdb.sql(f"SELECT c_custkey, c_name FROM '{DATA}/customer.parquet'").fetchall())
+    got = {r.order_id: r.customer_name for r in q.queries()["join_project"](spark, DATA).collect()}
+    assert got == {i: names[c] for i, c in orders.items() if c in names} and len(got) > 1000
