@@ -31,8 +31,8 @@ SAMPLE, SEQUENCES, LEXICON = 6_000, 3_000, 2_000
 CHAIN = 64
 TOKEN = re.compile(r"[^\W\d_]+")
 ROUNDS, RATE = 120, 2.0
-#: Standard errors of the log odds, and share of the toxic documents, that make a token a toxic one.
-CERTAIN, SUPPORT = 2.6, 0.04
+#: Standard errors of the log odds, and toxic documents, that make a token a toxic one, however many documents there are.
+CERTAIN, LEAST = 2.6, 3
 
 
 def held_out(doc_id):
@@ -182,9 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     families = dict(by_word.select("label", "family").distinct().groupBy("label").count().collect())
     toxic, clean = families.get(1, 0), families.get(0, 0)
     odds = F.log((F.col("t") + 0.5) / (toxic + 1)) - F.log((F.col("c") + 0.5) / (clean + 1))
-    # surely more frequent in toxic documents, and common among them
+    # surely more frequent in toxic documents; a word of few of them, as in a rare language, counts as well
     sure = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5)) > CERTAIN
-    chosen = seen.where((F.col("t") >= max(3, SUPPORT * toxic)) & (odds > np.log(6)) & sure).orderBy(odds.desc(), "word").limit(LEXICON).collect()
+    chosen = seen.where((F.col("t") >= LEAST) & (odds > np.log(6)) & sure).orderBy(odds.desc(), "word").limit(LEXICON).collect()
     model.lexicon = {r["word"]: i for i, r in enumerate(sorted(chosen, key=lambda r: r["word"]))}
     model.emit = np.zeros(len(model.lexicon) + 1)
     lexicon = model.lexicon
