@@ -1,8 +1,8 @@
 """Documents as blocks, and rounds of questions between blocks and buckets.
 
 Operators that compare every text with every other one work in rounds.  A block
-holds about ``BLOCK_BYTES`` of whole documents (dealt by a hash of doc_id, so a
-hot source spreads evenly).  In a round every block sends, to buckets dealt by
+holds about ``BLOCK_BYTES`` of whole documents (dealt by a hash of id and text,
+so a hot source, or an id that many rows repeat or lack, spreads evenly).  In a round every block sends, to buckets dealt by
 a hash of the compared unit, one entry per *distinct* unit it holds; a bucket
 answers each block.  A unit that a third of the corpus holds therefore costs a
 bucket one entry per block, never one per document.
@@ -14,6 +14,7 @@ says what it is, ``src`` where it comes from, ``n`` a count, ``data`` the payloa
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import struct
 from collections.abc import Callable, Iterable, Iterator
 
@@ -117,7 +118,7 @@ def to_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
         data = Block.pack(table["id"].to_pylist(), table["body"].to_pylist())
         return pa.Table.from_batches([_batch([(table["k"][0].as_py(), TEXT, 0, table.num_rows, data)])])
 
-    keyed = docs.select(F.pmod(F.xxhash64(id_col), F.lit(count)).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
+    keyed = docs.select(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(count)).alias("k"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("body"))
     return keyed.groupBy("k").applyInArrow(tidy_group(pack), ROW), count, int(size["b"])
 
 
@@ -269,10 +270,14 @@ def ranges(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = BYTE.copy()
-_LOWER[65:91] = BYTE[97:123]
-#: Bytes hashed at once; bounds the arrays a task holds.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes looked at at once; bounds the arrays a task holds.
 CHUNK = 1 << 20
+#: Words up to this many bytes are kept as they are in two 64-bit numbers; longer ones by a 120-bit digest.
+SHORT = 15
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_SALT = np.uint64(0x2545F4914F6CDD1D)
 
 
 def chunks(block: Block) -> Iterator[tuple[int, int]]:
@@ -295,15 +300,31 @@ def chunks(block: Block) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words_of(block: Block, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word ([^\\x20\\x09-\\x0D]+), and each document's range of words.
+def word_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each word part[start:end]; the second ones only if asked for.
+
+    The two together are a bijection of the word's bytes and length (of the
+    digest, for long words), so different short words never share both.
+    """
+    lens = ends - starts
+    eight = np.ndarray(len(part) + 8, "<u8", np.concatenate([part, np.zeros(15, np.uint8)]), strides=(1,))
+    a = eight[starts] & _FIRST[np.minimum(lens, 8)]
+    b = (eight[np.minimum(starts + 8, len(part))] & _FIRST[np.clip(lens - 8, 0, 7)]) | (lens.astype(np.uint64) << np.uint64(56))
+    for i in np.flatnonzero(lens > SHORT).tolist():
+        x, y = struct.unpack("<QQ", hashlib.blake2b(part[starts[i] : ends[i]], digest_size=16).digest())
+        a[i], b[i] = x, y | 0xFF << 56
+    one = mix(a ^ mix(b + BASE))
+    return one, mix(b ^ mix(one + _SALT)) if second else one[:0]
+
+
+def words_of(block: Block, lower: bool = False, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes and second hashes of every word ([^\\x20\\x09-\\x0D]+), and each document's range of words.
 
     lower: A-Z count as a-z.
     """
-    table = _LOWER if lower else BYTE
-    hashes, starts_all = [], []
+    one, two, starts_all = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in chunks(block):
-        part = block.buf[a:b]
+        part = _LOWER[block.buf[a:b]] if lower else block.buf[a:b]
         space = _SPACE[part]
         cut = block.offsets[np.searchsorted(block.offsets, a, "left") : np.searchsorted(block.offsets, b, "left")] - a
         before = np.empty(len(part), bool)
@@ -313,9 +334,16 @@ def words_of(block: Block, lower: bool = False) -> tuple[np.ndarray, np.ndarray]
         after[-1], after[:-1] = True, space[1:]
         after[cut[cut > 0] - 1] = True
         starts = np.flatnonzero(~space & before)
-        ends = np.flatnonzero(~space & after) + 1
-        hashes.append(ranges(prefix_sums(table[part]), starts, ends))
+        x, y = word_hashes(part, starts, np.flatnonzero(~space & after) + 1, second)
+        one.append(x)
+        two.append(y)
         starts_all.append(starts + a)
-    words = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    starts = np.concatenate(starts_all) if starts_all else np.zeros(0, np.int64)
-    return words, np.searchsorted(starts, block.offsets)
+    return np.concatenate(one), np.concatenate(two), np.searchsorted(np.concatenate(starts_all), block.offsets)
+
+
+def runs_of(values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` values from each start on; mixed after each of them."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(size):
+        out = mix(out ^ values[starts + i]) + BASE
+    return out

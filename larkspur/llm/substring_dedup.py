@@ -5,8 +5,12 @@ difference, so two occurrences of a window, at whatever positions, share an
 anchor (``size - PERIOD + 1`` words at a cover position) at the same distance
 from their starts.  Only anchors at cover positions are hashed and counted.
 Windows with an anchor that occurs more than once are extended to their whole
-``size`` words and compared as such (96-bit hashes of all their words); all
-other windows are unique.
+``size`` words and compared as such; all other windows are unique.
+
+Two windows count as equal if two 64-bit hashes of theirs agree, made from
+different halves of 128-bit word hashes (:func:`~larkspur.llm.blocks.word_hashes`);
+the second is mixed again after every word, so no linear relation between words
+cancels out.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 class Windows:
     """A block's words, its anchors, and the windows that hold a repeated one."""
 
-    def __init__(self, block: B.Block, size: int):
-        words, self.edges = B.words_of(block)
+    def __init__(self, block: B.Block, size: int, second: bool = True):
+        words, self.more, self.edges = B.words_of(block, second=second)
         self.n = len(words)
         self.doc = np.repeat(np.arange(len(block)), np.diff(self.edges))
         self.left = self.edges[1:][self.doc] - np.arange(self.n)  # words to the document's end
@@ -50,7 +54,7 @@ class Windows:
         return B.mix(out)
 
     def candidates(self, replies: list) -> None:
-        """start: windows that hold a repeated anchor; key, check: hashes of all their words."""
+        """start: windows that hold a repeated anchor; key, check: two hashes of all their words."""
         distinct, inverse, counts = np.unique(self.hash, return_inverse=True, return_counts=True)
         again = (B.read_shared(replies, len(distinct)) | (counts > 1))[inverse]
         marked = np.zeros(self.n + 1, np.int64)
@@ -59,7 +63,7 @@ class Windows:
         start = np.flatnonzero(self.left >= self.size)
         self.start = start[marked[start + PERIOD] > marked[start]]
         self.key = self._hash(self.words, self.start, self.size)
-        self.check = (self._hash(self.words ^ (self.words >> np.uint64(31)), self.start, self.size) >> np.uint64(32)).astype(np.uint32)
+        self.check = B.runs_of(self.more, self.start, self.size)
         order = np.lexsort((self.start, self.check, self.key))
         k, c = self.key[order], self.check[order]
         new = np.ones(len(order), bool)
@@ -76,9 +80,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A word goes when a window of ``size`` words over it has the word sequence
     of a window that starts earlier (smaller id, or same row and earlier).
     Defined results: a null text has no words; rows under ``size`` words keep
-    all; of rows with the same id the one with the smaller text (as bytes)
-    counts as earlier; a null id comes last; other columns are ignored; an
-    empty table gives an empty one.
+    all; of rows with the same id one counts as earlier, by a hash of its text;
+    a null id comes last; a long text is read in parts of about 1 MB (one word
+    is never cut); other columns, whatever their names, are ignored; an empty
+    table gives an empty one.
     """
     if size < PERIOD + 1:
         raise ValueError(f"windows need at least {PERIOD + 1} words")
@@ -89,7 +94,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count = B.buckets_for(total)
 
     def ask(k: int, _: int, data: bytes) -> Iterator[B.Row]:
-        yield from B.ask_shared(k, np.unique(Windows(B.Block.unpack(data), size).hash), count, ASK)
+        yield from B.ask_shared(k, np.unique(Windows(B.Block.unpack(data), size, False).hash), count, ASK)
 
     shared = own.save(B.together(B.over(blocks, ask), B.answer_shared(ASK, SHARED)), "shared")
     own.drop()
@@ -107,8 +112,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         key, check, owner, sent = [], [], [], by[WINDOWS]
         for _, n, d in sent:
             key.append(np.frombuffer(d, np.uint64, n))
-            check.append(np.frombuffer(d, np.uint32, n, 8 * n))
-            owner.append(np.frombuffer(d, np.int64, -1, 16 * n)[np.frombuffer(d, np.uint32, n, 12 * n)])
+            check.append(np.frombuffer(d, np.uint64, n, 8 * n))
+            owner.append(np.frombuffer(d, np.int64, -1, 20 * n)[np.frombuffer(d, np.uint32, n, 16 * n)])
         who = np.repeat(np.arange(len(sent)), [n for _, n, _ in sent])
         key, check, owner = np.concatenate(key), np.concatenate(check), np.concatenate(owner)
         order = np.lexsort((who, owner, check, key))

@@ -14,8 +14,8 @@ in it; equal windows have equal minimizers at equal places.  Only minimizers
 that occur more than once (counted over all documents) give pieces, and a
 bucket runs the rounds over all pieces of its minimizers, aligned at them: a
 run of neighbours with common prefixes of ``length`` or more is one string, and
-its smallest document keeps it.  The filter loses nothing, and the comparison
-is of the bytes themselves.
+its smallest document keeps it.  The filter loses nothing, and what is compared,
+inside a block as in a bucket, are the bytes themselves.
 """
 
 from __future__ import annotations
@@ -134,14 +134,35 @@ def _send(block: int, buf: np.ndarray, ids: np.ndarray, p: Pieces, unique: np.nd
         yield b, PIECES, block, j - i, B.squeeze(ids[p.doc[x]].tobytes() + head + buf[place].tobytes())
 
 
-def _distinct(p: Pieces, again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces in question; the first of each distinct one, by hash; where each of them is among those."""
+def _distinct(buf: np.ndarray, p: Pieces, again: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces in question; the first of each distinct one; where each of them is among those.
+
+    Pieces are sorted by a hash and then held byte by byte against the first
+    of their hash; those that differ from it are told apart by their bytes.
+    """
     chosen = np.flatnonzero(again)
-    key, first, inverse = np.unique(p.piece[chosen], return_index=True, return_inverse=True)
+    _, first, code = np.unique(p.piece[chosen], return_index=True, return_inverse=True)
+    lens, head = p.hi[chosen] - p.lo[chosen] + length, p.at[chosen] - p.lo[chosen]
+    leader = first[code]
+    wrong = (lens != lens[leader]) | (head != head[leader])
+    for i in range(0, len(chosen), 8192):  # index arrays for a few pieces at a time
+        x = np.arange(i, min(len(chosen), i + 8192))
+        x = x[~wrong[x] & (leader[x] != x)]
+        if len(x):
+            edge = np.cumsum(lens[x]) - lens[x]
+            step = np.arange(int(lens[x].sum())) - np.repeat(edge, lens[x])
+            differ = buf[np.repeat(p.lo[chosen[x]], lens[x]) + step] != buf[np.repeat(p.lo[chosen[leader[x]]], lens[x]) + step]
+            wrong[x] = np.logical_or.reduceat(differ, edge)
+    if wrong.any():
+        known: dict = {}
+        for i in np.flatnonzero(wrong).tolist():
+            a = int(p.lo[chosen[i]])
+            code[i] = known.setdefault((int(head[i]), buf[a : a + int(lens[i])].tobytes()), len(first) + len(known))
+        _, first, code = np.unique(code, return_index=True, return_inverse=True)
     by_bucket = np.argsort(p.hash[chosen][first], kind="stable")
-    rank = np.empty(len(key), np.int64)
-    rank[by_bucket] = np.arange(len(key))
-    return chosen, chosen[first][by_bucket], rank[inverse]
+    rank = np.empty(len(first), np.int64)
+    rank[by_bucket] = np.arange(len(first))
+    return chosen, chosen[first][by_bucket], rank[code]
 
 
 def _repeated(p: Pieces, replies: list) -> np.ndarray:
@@ -155,8 +176,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A byte goes when a ``length``-byte string over it also starts in a document
     with a smaller id.  Defined results: a null text counts as empty; texts
     under ``length`` bytes keep all; rows with the same id never remove each
-    other's bytes; a null id comes after all others; other columns are ignored;
-    an empty table gives an empty one.
+    other's bytes; a null id comes after all others; a long text is read in
+    parts of about 1 MB; other columns, whatever their names, are ignored; an
+    empty table gives an empty one.
     """
     # windows of a piece differ in their distance to the minimizer: one bit of a 64-bit mask each
     if not 0 < length - kmer + 1 <= 64 or length > 255:
@@ -176,7 +198,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def pieces(k: int, by: dict) -> Iterator[B.Row]:
         block = B.Block.unpack(by[B.TEXT][0][2])
         p = Pieces(block, length, kmer)
-        _, unique, _ = _distinct(p, _repeated(p, by.get(SHARED, [])))
+        _, unique, _ = _distinct(block.buf, p, _repeated(p, by.get(SHARED, [])), length)
         yield from _send(k, block.buf, block.ids, p, unique, count, length)
 
     def judge(bucket: int, by: dict) -> Iterator[B.Row]:
@@ -215,7 +237,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(_: int, by: dict) -> pa.Table:
         block = B.Block.unpack(by[B.TEXT][0][2])
         p = Pieces(block, length, kmer)
-        chosen, unique, inverse = _distinct(p, _repeated(p, by.get(SHARED, [])))
+        chosen, unique, inverse = _distinct(block.buf, p, _repeated(p, by.get(SHARED, [])), length)
         found = [np.frombuffer(B.expand(d), np.uint64) for _, _, d in by.get(MASKS, [])]
         mask = (np.concatenate(found) if found else np.zeros(0, np.uint64))[inverse]
         lo, hi, base = p.lo[chosen], p.hi[chosen], room - (p.at[chosen] - p.lo[chosen])
