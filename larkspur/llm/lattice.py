@@ -1,13 +1,23 @@
 """Operator 9: embedding near-dedup by E8 lattice hashing.
 
 Equal vectors of a label are one class.  In each of several tables a class is
-projected to eight dimensions at random and decoded to the nearest point of the
-E8 lattice, its home cell; it also probes the neighbouring cells (of the 240)
-that its projection leans to most.  Vectors meet in a cell that is home to one
-of them.  Meetings are verified by cosine in double precision; a pair that
-meets several times counts at its first meeting only, so links can be summed
-where they are found and no table of pairs is made.  Large cells are dealt out
-as pairs of parts.
+projected at random to some blocks of eight dimensions, each decoded to the
+nearest point of the E8 lattice; the points together are its home cell.  It also
+probes neighbouring cells: those that differ by one of the 240 shortest vectors
+in one block, or two, and to which its projection leans most.  Vectors meet in a
+cell that is home to one of them.
+
+A random pair meets less and less often the more blocks a cell has, a near pair
+too, so that more tables are needed.  :data:`STEPS` takes the blocks from the
+rows of the largest label, which keeps the candidates of a vector few at every
+size; the chance that a near pair meets follows from its cosine alone, as the
+projections are Gaussian, so the tables of each step hold the recall for all
+data and dimensions.
+
+Meetings are verified by cosine in double precision; a pair that meets several
+times counts at its first meeting only, so links can be summed where they are
+found and no table of pairs is made.  Vectors are sent only to cells that two
+classes share, and large cells are dealt out as pairs of parts.
 """
 
 from __future__ import annotations
@@ -24,10 +34,11 @@ from larkspur.llm.hot import join_index
 from larkspur.llm.scratch import Scratch
 
 COSINE = 0.93
-#: Tables, probes per table, and the length a unit vector is scaled to before projection.
-TABLES, PROBES, SCALE, SEED = 6, 12, 1.0, 11
-#: Members of a cell that one task compares at once.
-PART = 1024
+#: Vectors of the largest label up to which a step holds; blocks per cell, scale of the projection, probes and tables: recall 0.99 at COSINE.
+STEPS = ((50_000, 2, 0.55, 3, 12), (500_000, 3, 0.5, 4, 20), (5_000_000, 3, 0.55, 4, 29), (1 << 62, 4, 0.45, 4, 32))
+SEED = 11
+#: Members of a cell that one task compares at once; numbers of a matrix of vectors that it multiplies at once.
+PART, NUMBERS = 1024, 1 << 22
 
 
 def neighbours() -> np.ndarray:
@@ -68,42 +79,66 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
 class Tables:
     """Home and probe keys of unit vectors, the same in every process."""
 
-    def __init__(self, dim: int, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE):
-        self.matrices = np.random.default_rng(SEED).standard_normal((tables, dim, 8)) * scale
-        self.near, self.probes = neighbours(), probes
+    def __init__(self, dim: int, blocks: int, scale: float, probes: int, tables: int):
+        rng = np.random.default_rng(SEED)
+        self.blocks, self.probes, self.near = blocks, probes, neighbours()
+        self.matrices = rng.standard_normal((tables, blocks, dim, 8)) * scale
+        # a cell's hash is linear in its coordinates, so a move adds a number of its own
+        self.factors = rng.integers(0, 1 << 63, (tables, blocks, 8), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.moves = (self._whole(self.near)[None, None] * self.factors[:, :, None, :]).sum(axis=3)
 
     @staticmethod
-    def _key(points: np.ndarray, table: int, label: np.ndarray) -> np.ndarray:
-        h = label.astype(np.uint64) * np.uint64(64) + np.uint64(table)
-        h = np.broadcast_to(h.reshape(-1, *[1] * (points.ndim - 2)), points.shape[:-1]).copy()
-        for i in range(8):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + np.round(points[..., i] * 2).astype(np.int64).astype(np.uint64))
-        return h
+    def _whole(points: np.ndarray) -> np.ndarray:
+        return np.round(points * 2).astype(np.int64).astype(np.uint64)
 
     def keys(self, unit: np.ndarray, label: np.ndarray) -> np.ndarray:
         """(vector, table, 1 + probes): home first."""
-        out = np.empty((len(unit), len(self.matrices), 1 + self.probes), np.uint64)
-        for t, m in enumerate(self.matrices):
-            x = unit @ m
-            home = nearest_e8(x)
-            lean = (x - home) @ self.near.T
-            best = np.argpartition(-lean, self.probes - 1, axis=1)[:, : self.probes] if self.probes else np.zeros((len(x), 0), int)
-            out[:, t, 0] = self._key(home, t, label)
-            if self.probes:
-                out[:, t, 1:] = self._key(home[:, None, :] + self.near[best], t, label)
+        n, top = len(unit), min(self.probes, 240)
+        out = np.empty((n, len(self.matrices), 1 + self.probes), np.uint64)
+        for t, matrices in enumerate(self.matrices):
+            total = np.zeros(n, np.uint64)
+            cost, step = [], []
+            for k, m in enumerate(matrices):
+                x = unit @ m
+                home = nearest_e8(x)
+                total += (self._whole(home) * self.factors[t, k]).sum(axis=1)
+                lean = (x - home) @ self.near.T
+                for _ in range(top):
+                    best = lean.argmax(axis=1)
+                    at = (np.arange(n), best)
+                    cost.append(1 - lean[at])  # half of what the squared distance grows by
+                    step.append(self.moves[t, k][best])
+                    lean[at] = -np.inf
+            for a in range(self.blocks):
+                for b in range(a):
+                    for i in range(min(2, top)):
+                        for j in range(min(2, top)):
+                            cost.append(cost[a * top + i] + cost[b * top + j])
+                            step.append(step[a * top + i] + step[b * top + j])
+            own = mix(label.astype(np.uint64) * np.uint64(64) + np.uint64(t))
+            out[:, t, 0] = mix(total + own)
+            if top:
+                cheapest = np.argsort(np.array(cost), axis=0)[: self.probes]
+                out[:, t, 1:] = mix((total + own)[None] + np.take_along_axis(np.array(step), cheapest, axis=0)).T
         return out
 
 
-def _unit(vectors: list[list[float]]) -> np.ndarray:
-    x = np.array(vectors, np.float64)
-    top = np.abs(x).max(axis=1, keepdims=True)
-    x = x / top
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest place joined to each of n places by the pairs."""
-    root = np.arange(n)
+def _by_dim(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, places, matrix) of list vectors without nulls."""
+    dims = vectors.value_lengths().to_numpy()
+    for dim in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == dim)
+        yield dim, at, vectors.take(pa.array(at)).flatten().to_numpy().reshape(-1, dim)
+
+
+def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest place joined to each place by the pairs and by what root says already."""
     while True:
         low = np.minimum(root[a], root[b])
         after = root.copy()
@@ -115,68 +150,82 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = after
 
 
-def _meet(rows: dict[str, np.ndarray], unit: np.ndarray, keys: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows that link and have their first meeting in this cell; rows are sorted by cell."""
-    cell = rows["cell"]
-    size = np.unique(cell, return_counts=True)[1]
-    end = np.repeat(np.cumsum(size), size)
-    left, right = [], []
-    for d in range(1, int(size.max(initial=1))):
-        i = np.flatnonzero(np.arange(len(cell)) + d < end)
-        if not len(i):
-            break
-        j = i + d
-        ok = (rows["home"][i] | rows["home"][j]) & (rows["label"][i] == rows["label"][j]) & ((rows["p"][i] == rows["q"][i]) | (rows["part"][i] != rows["part"][j])) & (rows["id"][i] != rows["id"][j])
-        i, j = i[ok], j[ok]
-        for s in range(0, len(i), 200_000):
-            x, y = i[s : s + 200_000], j[s : s + 200_000]
-            hit = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
-            x, y = x[hit], y[hit]
-            if not len(x):
-                continue
-            # where do they meet first?
-            ka, kb = keys[x], keys[y]
-            ab = (ka[:, :, :1] == kb).any(axis=2)  # home of x, met by y
-            ba = (kb[:, :, :1] == ka).any(axis=2)
-            table = np.argmax(ab | ba, axis=1)
-            at = np.arange(len(x))
-            far = np.uint64(0xFFFFFFFFFFFFFFFF)
-            first = np.minimum(np.where(ab[at, table], ka[at, table, 0], far), np.where(ba[at, table], kb[at, table, 0], far))
-            here = first == rows["key"][x]
-            left.append(x[here])
-            right.append(y[here])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(left) if left else none, np.concatenate(right) if right else none
-
-
-def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, scale: float = SCALE) -> DataFrame:
+class Meetings:
+    """Pairs of rows of cells that link and have their first meeting there."""
+
+    def __init__(self, rows: dict[str, np.ndarray], unit: np.ndarray, place: np.ndarray, tables: Tables, cosine: float):
+        """rows: sorted by cell; unit: distinct vectors, of which row i has unit[place[i]]."""
+        self.rows, self.unit, self.place, self.tables, self.cosine = rows, unit, place, tables, cosine
+        self.keys = np.empty((len(unit), len(tables.matrices), 1 + tables.probes), np.uint64)
+        self.known = np.zeros(len(unit), bool)
+
+    def _keys(self, place: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Keys are made again for vectors that link with something, and only for those."""
+        at, first = np.unique(place, return_index=True)
+        new = ~self.known[at]
+        self.keys[at[new]] = self.tables.keys(self.unit[at[new]], label[first[new]])
+        self.known[at] = True
+        return self.keys[place]
+
+    def _first(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        both = self._keys(self.place[np.concatenate([x, y])], self.rows["label"][np.concatenate([x, y])])
+        ka, kb = both[: len(x)], both[len(x) :]
+        ab = (ka[:, :, :1] == kb).any(axis=2)  # home of x, met by y
+        ba = (kb[:, :, :1] == ka).any(axis=2)
+        table, at, far = np.argmax(ab | ba, axis=1), np.arange(len(x)), np.uint64(0xFFFFFFFFFFFFFFFF)
+        return np.minimum(np.where(ab[at, table], ka[at, table, 0], far), np.where(ba[at, table], kb[at, table, 0], far)) == self.rows["key"][x]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows, size = self.rows, np.unique(self.rows["cell"], return_counts=True)[1]
+        end = np.repeat(np.cumsum(size), size)
+        at_once = max(1, NUMBERS // max(1, self.unit.shape[1]))
+        for d in range(1, int(size.max(initial=1))):
+            i = np.flatnonzero(np.arange(len(end)) + d < end)
+            j = i + d
+            ok = (rows["home"][i] | rows["home"][j]) & (rows["label"][i] == rows["label"][j]) & ((rows["p"][i] == rows["q"][i]) | (rows["part"][i] != rows["part"][j])) & (rows["id"][i] != rows["id"][j])
+            i, j = i[ok], j[ok]
+            for s in range(0, len(i), at_once):
+                x, y = i[s : s + at_once], j[s : s + at_once]
+                hit = np.einsum("ij,ij->i", self.unit[self.place[x]], self.unit[self.place[y]]) >= self.cosine
+                x, y = x[hit], y[hit]
+                for k in range(0, len(x), 50_000):
+                    a, b = x[k : k + 50_000], y[k : k + 50_000]
+                    here = self._first(a, b)
+                    yield a[here], b[here]
+
+
+def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, steps: tuple[tuple[int, int, float, int, int], ...] = STEPS) -> DataFrame:
     """vec_id, n_links, component_id, kept per row.
 
     Defined results: a null label, and a vector that is null, empty, zero or
     has a null or non-finite component, links with nothing; vectors of
     different dimension never link; rows that repeat an id and a vector count
-    as separate vectors; a null id comes after all others; other columns are
-    ignored.
+    as separate vectors of one class; a null id comes after all others;
+    other columns, whatever their names, are ignored; an empty table gives an
+    empty one.  Rows that repeat an id, or have none, link by their own
+    vectors; a component is named by its smallest id.
     """
     own = Scratch(rows.sparkSession, "lattice")
-    read = rows.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).cast("long").alias("label"))
+    read = rows.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), (F.col(vec_col) if dict(rows.dtypes)[vec_col] == "array<float>" else F.col(vec_col).cast("array<double>")).alias("vec"), F.col(label_col).cast("long").alias("label"))
     good = F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0)
     marked = read.withColumn("ok", F.coalesce(good, F.lit(False)))
     class_key = F.sha2(F.concat_ws(",", F.col("label").cast("string"), F.col("vec").cast("array<string>")), 256)
     keyed = marked.withColumn("class", F.when(F.col("ok"), class_key))
-    classes = own.save(keyed.where("ok").groupBy("class").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label")), "classes")
+    # a class goes by a number of its own: ids may repeat
+    classes = keyed.where("ok").groupBy("class").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec"), F.first("label").alias("label"))
+    classes = own.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    figures = next(s[1:] for s in steps if largest <= s[0])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built: dict[int, Tables] = {}
         for batch in batches:
-            ids, label, vec = batch["id"].to_numpy(), batch["label"].to_numpy(), batch["vec"].to_pylist()
-            dims = np.array([len(v) for v in vec], np.int64)
-            for dim in np.unique(dims):
-                t = built.setdefault(int(dim), Tables(int(dim), tables, probes, scale))
-                of_dim = np.flatnonzero(dims == dim)
-                for s in range(0, len(of_dim), 2000):
-                    x = of_dim[s : s + 2000]
-                    k = t.keys(_unit([vec[i] for i in x]), label[x])
+            ids, label = batch["id"].to_numpy(), batch["label"].to_numpy()
+            for dim, at, vec in _by_dim(batch["vec"]):
+                t = built.setdefault(dim, Tables(dim, *figures))
+                for s in range(0, len(at), 2000):
+                    x = at[s : s + 2000]
+                    k = t.keys(_unit(vec[s : s + 2000]), label[x])
                     home = np.zeros(k.shape, bool)
                     home[:, :, 0] = True
                     yield pa.RecordBatch.from_arrays([pa.array(k.reshape(-1).view(np.int64)), pa.array(np.repeat(ids[x], k.shape[1] * k.shape[2])), pa.array(home.reshape(-1))], ["key", "id", "home"])
@@ -195,27 +244,24 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
             col = {c: t[c].to_numpy() for c in ("id", "part", "p", "q", "label", "copies")}
             col["home"] = np.array(t["home"].to_pylist(), bool)
             col["key"] = t["key"].to_numpy().view(np.uint64)
-            vec = t["vec"].to_pylist()
-            dims = np.array([len(v) for v in vec])
             out_id, out_links, out_root = [], [], []
-            for dim in np.unique(dims):
-                x = np.flatnonzero(dims == dim)
+            ids, first, place = np.unique(col["id"], return_index=True, return_inverse=True)
+            for dim, at, vec in _by_dim(t["vec"].combine_chunks().take(pa.array(first))):
+                x = np.flatnonzero(np.isin(place, at))
                 own_rows = {c: v[x] for c, v in col.items()}
                 cell = np.stack([own_rows["key"], own_rows["p"].astype(np.uint64), own_rows["q"].astype(np.uint64)], axis=1)
                 own_rows["cell"] = np.cumsum(np.concatenate([[0], (cell[1:] != cell[:-1]).any(axis=1)]))
-                ids, first, place = np.unique(own_rows["id"], return_index=True, return_inverse=True)
-                unit = _unit([vec[x[i]] for i in first])
-                tab = built.setdefault(int(dim), Tables(int(dim), tables, probes, scale))
-                keys = np.concatenate([tab.keys(unit[s : s + 2000], own_rows["label"][first[s : s + 2000]]) for s in range(0, len(ids), 2000)])
-                a, b = _meet(own_rows, unit[place], keys[place], cosine)
-                links = np.zeros(len(ids))
-                np.add.at(links, place[a], own_rows["copies"][b])
-                np.add.at(links, place[b], own_rows["copies"][a])
-                root = _roots(len(ids), place[a], place[b])
+                among = np.searchsorted(at, place[x])
+                met = Meetings(own_rows, _unit(vec), among, built.setdefault(dim, Tables(dim, *figures)), cosine)
+                links, root = np.zeros(len(at), np.int64), np.arange(len(at))
+                for a, b in met.pairs():
+                    np.add.at(links, among[a], own_rows["copies"][b])
+                    np.add.at(links, among[b], own_rows["copies"][a])
+                    root = _roots(root, among[a], among[b])
                 some = np.flatnonzero(links)
-                out_id.append(ids[some])
-                out_links.append(links[some].astype(np.int64))
-                out_root.append(ids[root[some]])
+                out_id.append(ids[at[some]])
+                out_links.append(links[some])
+                out_root.append(ids[at[root[some]]])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in (out_id, out_links, out_root)], ["id", "links", "root"])
 
         rest: pa.Table | None = None
@@ -239,10 +285,13 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
     own.drop("cells", "crowded")
     comp = components(found.select("id", "root"), own, "joined")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    per_class = classes.select("class", "id", "copies").join(links, "id", "left").join(comp.withColumnRenamed("v", "id").withColumnRenamed("root", "comp"), "id", "left").select("class", F.col("id").alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"), "comp")
+    rooted = comp.unionByName(comp.select(F.col("root").alias("v"), "root").distinct())
+    lows = rooted.join(classes.select(F.col("id").alias("v"), "low"), "v").groupBy("root").agg(F.min("low").alias("comp"))
+    told = rooted.join(lows, "root").select(F.col("v").alias("id"), "comp")
+    per_class = classes.select("class", "id", "low", "copies").join(links, "id", "left").join(told, "id", "left").select("class", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "low").alias("comp"))
     per_class = own.save(per_class, "figures")
     done = join_index(keyed.select("id", "class"), per_class, "class", "copies", rows.count(), "id", "left")
-    component = F.coalesce("comp", "class_id", "id")
+    component = F.coalesce("comp", "id")
     result = own.save(done.select("id", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"), component.alias("component")), "result")
     own.drop("classes", "found", "figures")
     clean = lambda c: F.nullif(F.col(c), F.lit(NULL_ID))
