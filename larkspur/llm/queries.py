@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """Where SQL can express a query and is quick enough over whole tables."""
     return {
+        "op3_mixing": mixing.SQL,
         "op5_exact_dedup": exact_dedup.SQL,
         "op7_ngram_jaccard": jaccard.SQL,
         "op9_lattice_neardup": lattice.SQL,
