@@ -258,8 +258,3 @@ def test_classifiers_on_odd_rows(spark, docs, rows, empty):
             scored = module.score_documents(docs, module.train(docs, known)).collect()
             assert len(scored) == len(rows) and all(0 <= r.score <= 1 for r in scored)
         assert module.score_documents(empty, module.train(empty, labels)).count() == 0
-
-
-def test_toxic_spans():
-    m = toxicity.Chain(lexicon={"bad": 0}, emit=np.array([-4.0, 6.0]))
-    assert m.read("É a Bad, word", True)[2] == [(4, 7)] and m.read("")[0] == 0
