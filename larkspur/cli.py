@@ -8,6 +8,8 @@ from larkspur.plans.dialect import DialectError
 from larkspur.session import Engine
 
 EXIT = {"exit", "quit", ".exit", ".quit"}
+#: Seconds between two rounds of maintenance.
+PURGE_SECONDS = 30.0
 
 
 def shell(engine: Engine, lines, write=print) -> None:
@@ -19,9 +21,7 @@ def shell(engine: Engine, lines, write=print) -> None:
         if held.count("'") % 2 or not held.rstrip().endswith(";"):
             continue
         try:
-            for result in engine.exec(held):
-                for row in result.rows:
-                    write(" | ".join(f"{c} = {v}" for c, v in zip(result.columns, row, strict=True)))
+            engine.exec(held, lambda columns, row: write(" | ".join(f"{c} = {v}" for c, v in zip(columns, row, strict=True))))
             write("OK")
         except DialectError as e:
             write(f"ERROR: {e}")
@@ -32,7 +32,10 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("larkspur").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    shell(Engine(spark, sys.argv[1] if len(sys.argv) > 1 else None), sys.stdin)
+    engine = Engine(spark, sys.argv[1] if len(sys.argv) > 1 else None)
+    stop = engine.maintain_every(PURGE_SECONDS)
+    shell(engine, sys.stdin)
+    stop()
 
 
 if __name__ == "__main__":

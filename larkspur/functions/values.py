@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -22,14 +23,26 @@ def kind_of(spark: T.DataType) -> str:
 
 
 def cut(text: str, size: int) -> str:
-    """At most size bytes of UTF-8, at a character's end."""
-    return text.encode()[:size].decode("utf-8", "ignore")
+    """At most size bytes of UTF-8, at a character's end; a text ends at its first NUL."""
+    return text.split("\0", 1)[0].encode()[:size].decode("utf-8", "ignore")
 
 
 def cut_column(text: Column, size: int) -> Column:
     """cut() inside a plan."""
-    longest = F.array_max(F.filter(F.sequence(F.lit(0), F.lit(size)), lambda k: F.octet_length(F.substring(text, F.lit(1), k)) <= size))
-    return F.when(F.octet_length(text) <= size, text).otherwise(F.substring(text, F.lit(1), longest))
+    text = F.substring_index(text, "\0", 1)
+    raw = text.cast("binary")
+
+    def kept(n: int) -> Column:
+        return F.substring(raw, 1, n).cast("string")
+
+    def inside(n: int) -> Column:
+        """Does byte n (from 0) go on with the character before it?"""
+        return F.hex(F.substring(raw, n + 1, 1)).between("80", "BF")
+
+    out = kept(max(0, size - 3))
+    for n in (size - 2, size - 1, size):
+        out = F.when(~inside(n), kept(n)).otherwise(out) if n >= 0 else out
+    return F.when(F.octet_length(text) <= size, text).otherwise(out)
 
 
 def coerce(literal: Literal, column: ColumnDef, drop_fraction: bool = False) -> int | float | str:
@@ -64,4 +77,4 @@ def render(value: object) -> str:
 @F.pandas_udf(T.StringType())
 def rendered_double(x: pd.Series) -> pd.Series:
     """render() of doubles inside a plan; only a double joined to a text needs it."""
-    return x.map(render, na_action="ignore")
+    return pd.Series(np.char.mod("%.15g", x.to_numpy()), x.index).where(x.notna(), None)

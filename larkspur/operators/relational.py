@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from larkspur.functions.values import kind_of
 
 TTL = "expires_at"
+#: Columns of stored rows that no statement sees.
+HIDDEN = ("_stmt", "_seq")
 
 
 def ttl_column(df: DataFrame) -> str | None:
@@ -31,7 +33,7 @@ def purge_count(df: DataFrame, now: int) -> DataFrame:
 
 
 def scan(df: DataFrame) -> DataFrame:
-    return df.select(*[c for c in df.columns if c != "_seq"])
+    return df.select(*[c for c in df.columns if c not in HIDDEN])
 
 
 def project(df: DataFrame, *columns: str, **aliases: str) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.values import kind_of, rendered_double
-from larkspur.operators.relational import count_star, live
+from larkspur.operators.relational import HIDDEN, count_star, live
 from larkspur.plans.dialect import ColRef, DialectError, Select, TableRef, Term
 
 _COMPARE = {"=": lambda a, b: a == b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
@@ -101,4 +101,4 @@ def lower(select: Select, table: Callable[[str], DataFrame], now: int) -> DataFr
         df = df.where(chosen)
     if select.count_alias is not None:
         return count_star(df, select.count_alias)
-    return df.select(*columns) if columns else df.select(*[F.col(f"{i.handle}.`{c}`") for i in inputs for c in i.df.columns if c != "_seq"])
+    return df.select(*columns) if columns else df.select(*[F.col(f"{i.handle}.`{c}`") for i in inputs for c in i.df.columns if c not in HIDDEN])

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.functions.values import coerce, cut_column
+from larkspur.functions.values import cut_column
 from larkspur.operators import relational as R
-from larkspur.plans.dialect import ColumnDef, Literal, parse
+from larkspur.plans.dialect import parse
 from larkspur.plans.planner import join_condition
 from larkspur.session import Engine
-from larkspur.sources.catalog import Table
 from larkspur.sources.generators import bulk_generate, csv_triples
-from larkspur.streaming.triples import last_per_key
+from larkspur.sources.shared import shared_folder
+from larkspur.streaming.triples import file_triples, last_per_key
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 #: The moment that the queries on expiring rows ask about.
@@ -26,9 +26,9 @@ DIALECT = {
     "project_alias": "SELECT s_suppkey AS id, s_name AS supplier_name FROM supplier",
     "filter_eq": "SELECT c_custkey, c_name FROM customer WHERE c_nationkey = 7",
     "filter_lt": "SELECT p_partkey, p_size FROM part WHERE p_size < 5",
-    "filter_gt": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 450000.0",
+    "filter_gt": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45.0",
     "filter_le": "SELECT p_partkey, p_size FROM part WHERE p_size <= 5",
-    "filter_ge": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 450000",
+    "filter_ge": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity >= 45",
     "filter_int_float_lit": "SELECT COUNT(*) AS cnt FROM lineitem WHERE l_linenumber >= 3.5",
     "filter_float": "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0",
     "filter_str_eq": "SELECT c_custkey FROM customer WHERE c_mktsegment = 'MACHINERY'",
@@ -54,7 +54,7 @@ DIALECT = {
     "join_int_float": "SELECT o_orderkey, l_linenumber FROM orders INNER JOIN lineitem ON o_custkey = l_quantity",
     "join_varchar": "SELECT a.n_nationkey AS l_key, b.n_nationkey AS r_key FROM nation a INNER JOIN nation b ON a.n_name = b.n_name",
     "join_on_flipped": "SELECT n_name, r_name FROM nation INNER JOIN region ON r_regionkey = n_regionkey",
-    "join_alias_as": "SELECT n.n_name, r.r_name FROM nation AS n INNER JOIN region AS r ON n.n_regionkey = r.r_regionkey WHERE r.r_name = 'ASIA'",
+    "join_alias_as": "SELECT n.n_name, r.r_name FROM nation AS n INNER JOIN region AS r ON n.n_regionkey = r.r_regionkey",
     "self_join": "SELECT a.n_name AS left_name, b.n_name AS right_name FROM nation a INNER JOIN nation b ON a.n_regionkey = b.n_regionkey",
     "join_same_side": "SELECT n.n_name, r.r_name FROM nation n INNER JOIN region r ON n.n_nationkey = n.n_regionkey",
     "join_select_star": "SELECT * FROM nation INNER JOIN region ON n_regionkey = r_regionkey",
@@ -104,14 +104,72 @@ def ttl_purge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def insert_values_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     engine = Engine(spark)
-    engine.exec("CREATE TABLE emp (id DECIMAL PRIMARY KEY, dept_id DECIMAL, name VARCHAR(32), salary DECIMAL); INSERT INTO emp VALUES (101, 1, 'Alice', 120000), (102, 1, 'Bob', 95000)")
-    return engine.sql("SELECT * FROM emp")
+    engine.exec("CREATE TABLE ship (hull INT PRIMARY KEY, name VARCHAR(12), draught FLOAT, port TEXT); INSERT INTO ship VALUES (7, 'Grey Heron', 4.25, 'Leith'), (3, 'Tern', 2, 'Cádiz'); INSERT INTO ship VALUES (5, 'a name far too long', -0.5, NULL)")
+    return engine.sql("SELECT * FROM ship")
 
 
 def null_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = (ColumnDef("id", "INT"), ColumnDef("v", "INT"), ColumnDef("f", "FLOAT"), ColumnDef("n", "VARCHAR", 3))
-    row = tuple(coerce(v, c) for v, c in zip((Literal("int", 1), *[Literal("null", None)] * 3), columns, strict=True))
-    return R.scan(spark.createDataFrame([(*row, 0)], Table("t", columns).schema))
+    engine = Engine(spark)
+    engine.exec("CREATE TABLE t (id INT, v INT, f FLOAT, n VARCHAR(3)); INSERT INTO t VALUES (1, NULL, NULL, NULL)")
+    return engine.sql("SELECT * FROM t")
+
+
+def _durable(spark: SparkSession) -> Engine:
+    return Engine(spark, shared_folder(spark, "warehouse"))
+
+
+def _reopened(engine: Engine) -> Engine:
+    """Another engine over the same warehouse, which knows only what the log tells."""
+    return Engine(engine.spark, engine.catalog.warehouse)
+
+
+def insert_replay_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders through a durable, key-checked INSERT, read after the log was replayed."""
+    engine = _durable(spark)
+    engine.exec("CREATE TABLE o (o_orderkey DECIMAL PRIMARY KEY, o_custkey INT, o_totalprice FLOAT, o_orderpriority VARCHAR(6))")
+    engine.catalog.insert_frame("o", spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"))
+    return _reopened(engine).sql("SELECT * FROM o")
+
+
+def purge_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a purge leaves of all events, read at a time when none had expired."""
+    engine = _durable(spark)
+    engine.exec("CREATE TABLE e (event_id INT, event_type TEXT, expires_at DATETIME)")
+    engine.catalog.insert_frame("e", _events(spark, sf_dir).select("event_id", "event_type", "expires_at"))
+    engine.maintain(now=NOW)
+    return _reopened(engine).sql("SELECT * FROM e", now=0)
+
+
+def compact_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers as two statements, rewritten as one batch."""
+    engine = _durable(spark)
+    engine.exec("CREATE TABLE party (name VARCHAR(32), nation INT, balance FLOAT)")
+    for table, p in (("customer", "c"), ("supplier", "s")):
+        engine.catalog.insert_frame("party", spark.read.parquet(f"{sf_dir}/{table}.parquet").select(f"{p}_name", f"{p}_nationkey", f"{p}_acctbal"))
+    engine.catalog.compact(engine.catalog.get("party"))
+    return _reopened(engine).sql("SELECT * FROM party")
+
+
+def drop_create_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table dropped and made again with other columns, after replay."""
+    engine = _durable(spark)
+    engine.exec("CREATE TABLE r (a TEXT); INSERT INTO r VALUES ('x'); DROP TABLE R; DROP TABLE IF EXISTS r; CREATE TABLE r (k INT PRIMARY KEY NOT NULL, name VARCHAR(4))")
+    engine.catalog.insert_frame("r", spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name"))
+    return _reopened(engine).sql("SELECT * FROM r")
+
+
+def bulk_users_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated rows and one INSERT whose fraction that table drops, after replay."""
+    engine = _durable(spark)
+    engine.exec("CREATE TABLE BIG_USERS (ID DECIMAL, NAME VARCHAR(64), EMAIL VARCHAR(64), BALANCE DECIMAL, EXPIRES_AT DECIMAL); BULK_INSERT BIG_USERS 1 5000; INSERT INTO BIG_USERS VALUES (-1, 'me', 'me@here', 12.9, 1893456000)")
+    return _reopened(engine).sql("SELECT ID, NAME, EMAIL, BALANCE, EXPIRES_AT FROM BIG_USERS", NOW)
+
+
+def join_float_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles join texts by how they are rendered."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").cast("string").alias("k")).distinct()
+    return R.inner_join(lines, sizes, join_condition((lines["l_quantity"], "float", "l_quantity"), (sizes["k"], "str", "k"))).select("l_orderkey", "k")
 
 
 def varchar_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +189,15 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv_triples(_order_lines(spark, sf_dir)).select(F.col("key").cast("long").alias("key"), "val1", "val2")
 
 
+def csv_file_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long file per customer whose lines cut triples: two fields, then four, and so on."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    first, second = (F.concat_ws(",", *c) for c in (("o_orderkey", "o_custkey"), (F.lit(9), "o_orderkey", "o_custkey", F.lit("8"))))
+    lines = rows.select(F.explode(F.array(F.struct(F.lit(0).alias("n"), first.alias("value")), F.struct(F.lit(1).alias("n"), second.alias("value")))).alias("x"), "o_custkey", "o_orderkey")
+    placed = lines.select("x.value", F.col("o_custkey").alias("file"), F.floor(F.col("o_orderkey") / 1000).alias("block"), (F.col("o_orderkey") * 2 + F.col("x.n")).alias("line"))
+    return file_triples(placed).select(F.col("key").cast("long").alias("key"), "val1", "val2")
+
+
 def csv_last_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last_per_key(csv_triples(_order_lines(spark, sf_dir)).withColumn("seq", F.col("val1")), "seq").select(F.col("key").cast("long").alias("key"), "val1", "val2")
 
@@ -144,6 +211,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ttl_purge_count": ttl_purge_count,
         "bulk_generate": lambda spark, sf_dir: bulk_generate(spark, 1, 20_000),
         "insert_values_roundtrip": insert_values_roundtrip,
+        "insert_replay_roundtrip": insert_replay_roundtrip,
+        "purge_roundtrip": purge_roundtrip,
+        "compact_roundtrip": compact_roundtrip,
+        "drop_create_roundtrip": drop_create_roundtrip,
+        "bulk_users_roundtrip": bulk_users_roundtrip,
+        "join_float_text": join_float_text,
+        "csv_file_triples": csv_file_triples,
         "null_defaults": null_defaults,
         "varchar_truncate": varchar_truncate,
         "pk_violations": pk_violations,
@@ -162,7 +236,14 @@ ORACLE = {
     "ttl_join": f"SELECT e.event_id, c.c_name FROM {_EVENTS} INNER JOIN customer c ON e.user_id = c.c_custkey WHERE e.expires_at >= {NOW} AND e.event_type = 'click'",
     "ttl_purge_count": f"SELECT COUNT(*) AS removed FROM {_EVENTS} WHERE expires_at < {NOW}",
     "bulk_generate": "SELECT range AS id, 'user' || range AS name, 'user' || range || '@mail.com' AS email, 1000 + range % 10000 AS balance, CAST(1893456000 AS BIGINT) AS expires_at FROM range(1, 20001)",
-    "insert_values_roundtrip": "SELECT * FROM (VALUES (101::BIGINT, 1::BIGINT, 'Alice', 120000::BIGINT), (102, 1, 'Bob', 95000)) t(id, dept_id, name, salary)",
+    "insert_values_roundtrip": "SELECT * FROM (VALUES (7::BIGINT, 'Grey Heron', 4.25::DOUBLE, 'Leith'), (3, 'Tern', 2, 'Cádiz'), (5, 'a name far t', -0.5, '')) t(hull, name, draught, port)",
+    "insert_replay_roundtrip": "SELECT o_orderkey, o_custkey, o_totalprice, substr(o_orderpriority, 1, 6) AS o_orderpriority FROM orders",
+    "purge_roundtrip": f"SELECT event_id, event_type, expires_at FROM {_EVENTS} WHERE expires_at >= {NOW}",
+    "compact_roundtrip": "SELECT c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS balance FROM customer UNION ALL SELECT s_name, s_nationkey, s_acctbal FROM supplier",
+    "drop_create_roundtrip": "SELECT CAST(r_regionkey AS BIGINT) AS k, substr(r_name, 1, 4) AS name FROM region",
+    "bulk_users_roundtrip": "SELECT range AS ID, 'user' || range AS NAME, 'user' || range || '@mail.com' AS EMAIL, 1000 + range % 10000 AS BALANCE, CAST(1893456000 AS BIGINT) AS EXPIRES_AT FROM range(1, 5001) UNION ALL SELECT -1, 'me', 'me@here', 12, 1893456000",
+    "join_float_text": "SELECT l_orderkey, k FROM lineitem INNER JOIN (SELECT DISTINCT CAST(p_size AS VARCHAR) AS k FROM part) t ON printf('%.15g', l_quantity) = k",
+    "csv_file_triples": "SELECT o_orderkey AS key, o_custkey AS val1, CAST(9 AS BIGINT) AS val2 FROM orders UNION ALL SELECT o_orderkey, o_custkey, 8 FROM orders",
     "null_defaults": "SELECT 1::BIGINT AS id, 0::BIGINT AS v, 0::DOUBLE AS f, '' AS n",
     "varchar_truncate": "SELECT p_partkey, substr(p_name, 1, 5) AS nm FROM part",
     "pk_violations": "SELECT l_orderkey, COUNT(*) AS cnt FROM lineitem GROUP BY l_orderkey HAVING COUNT(*) > 1",

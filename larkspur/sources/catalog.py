@@ -1,26 +1,30 @@
 """Tables: Parquet batches named by an ordered commit log.
 
 A statement writes its batch folder and then commits one log entry by renaming
-it into place.  Opening a warehouse replays the entries; folders that no entry
-names are left-overs of statements that never committed.
+it into place.  Opening a warehouse replays the entries.  A batch that a later
+entry replaces or drops stays on disk for a time, so that readers who took
+their DataFrame before finish; :meth:`Catalog.vacuum` removes it afterwards, as
+it does folders of statements that never committed.
 """
 
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from larkspur.functions.values import INTEGRAL, cut_column, kind_of, spark_type, with_defaults
-from larkspur.operators.relational import expired, live, pk_conflicts, ttl_column
+from larkspur.operators.relational import HIDDEN, expired, live, pk_conflicts, ttl_column
 from larkspur.plans.dialect import ColumnDef, DialectError
 from larkspur.sources.files import Files
 
-SEQ = "_seq"
-#: Batches of a table after which maintenance rewrites it.
-COMPACT_AT = 32
+#: The order of insertion: number of the statement, then of the row in it.
+STMT, SEQ = HIDDEN
+#: Batches of a table after which maintenance rewrites it, and rows of a file it then writes.
+COMPACT_AT, FILE_ROWS = 32, 5_000_000
 
 
 @dataclass
@@ -34,7 +38,7 @@ class Table:
 
     @property
     def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(c.name, spark_type(c)) for c in self.columns] + [T.StructField(SEQ, T.LongType())])
+        return T.StructType([T.StructField(c.name, spark_type(c)) for c in self.columns] + [T.StructField(c, T.LongType()) for c in HIDDEN])
 
     @property
     def key(self) -> str | None:
@@ -49,6 +53,9 @@ class Catalog:
         self.spark, self.warehouse = spark, warehouse
         self.files = Files(spark, warehouse) if warehouse else None
         self.tables: dict[str, Table] = {}
+        #: what no table names any more, since when
+        self.retired: dict[str, float] = {}
+        self.retired_frames: list[tuple[float, DataFrame]] = []
         self.entry = 0
         if self.files:
             for name in self.files.names("_log"):
@@ -59,6 +66,7 @@ class Catalog:
     # --- log ---
 
     def _commit(self, **entry) -> None:
+        entry["at"] = time.time()
         if self.files:
             self.files.commit(f"_log/{self.entry + 1:010d}.json", json.dumps(entry))
         self.entry += 1
@@ -69,9 +77,11 @@ class Catalog:
         if e["op"] == "create":
             self.tables[key] = Table(e["table"], tuple(ColumnDef(**c) for c in e["columns"]), self.entry + 1)
         elif e["op"] == "drop":
-            del self.tables[key]
+            self.retired |= dict.fromkeys(self.tables.pop(key).batches, e["at"])
         else:
             t = self.tables[key]
+            if e["op"] == "replace":
+                self.retired |= dict.fromkeys(t.batches, e["at"])
             t.batches = [*t.batches, *e["batches"]] if e["op"] == "insert" else e["batches"]
             t.version = self.entry + 1
 
@@ -84,16 +94,31 @@ class Catalog:
         return found
 
     def frame(self, t: Table) -> DataFrame:
+        """All rows as they are now; later statements do not change what it reads."""
         if t.external is not None:
             return t.external
-        if t.frames:
-            out = t.frames[0]
-            for f in t.frames[1:]:
-                out = out.unionByName(f)
-            return out
-        if t.batches:
-            return self.spark.read.schema(t.schema).parquet(*[f"{self.warehouse}/{b}" for b in t.batches])
-        return self.spark.createDataFrame([], t.schema)
+        return next(iter(self._frames(t, [(0, len(t.batches) + len(t.frames))])))
+
+    def parts(self, t: Table) -> list[DataFrame]:
+        """The rows in the order of their statements, in pieces of one batch, two, four and so on."""
+        if t.external is not None:
+            return [t.external]
+        n, cuts = len(t.batches) + len(t.frames), [0]
+        while cuts[-1] < n:
+            cuts.append(min(n, 2 * cuts[-1] + 1))
+        return list(self._frames(t, list(zip(cuts, cuts[1:], strict=False)) or [(0, 0)]))
+
+    def _frames(self, t: Table, ranges: list[tuple[int, int]]):
+        for i, j in ranges:
+            if t.frames:
+                out = t.frames[i]
+                for f in t.frames[i + 1 : j]:
+                    out = out.unionByName(f)
+                yield out
+            elif t.batches:
+                yield self.spark.read.schema(t.schema).parquet(*[f"{self.warehouse}/{b}" for b in t.batches[i:j]])
+            else:
+                yield self.spark.createDataFrame([], t.schema)
 
     def register(self, name: str, df: DataFrame) -> None:
         """A read-only table with its Spark types; no key is enforced."""
@@ -104,7 +129,7 @@ class Catalog:
         if name.lower() in self.tables:
             raise DialectError("table already exists")
         lower = [c.name.lower() for c in columns]
-        if len(set(lower)) < len(lower) or SEQ in lower:
+        if len(set(lower)) < len(lower) or set(HIDDEN) & set(lower):
             raise DialectError("duplicate column name")
         self._commit(op="create", table=name, columns=[c.__dict__ for c in columns])
 
@@ -115,20 +140,40 @@ class Catalog:
         if t.external is not None:
             del self.tables[name.lower()]
             return
+        self._retire(t)
         self._commit(op="drop", table=name)
-        for b in t.batches:
-            self.files.delete(b)
+
+    # --- rows ---
+
+    def stored(self, t: Table, keys: list[int]) -> DataFrame:
+        """Those of the keys that are stored; range and keys reach the Parquet scan."""
+        key = F.col(f"`{t.key}`")
+        return self.frame(t).select(key).where((key >= min(keys)) & (key <= max(keys)) & key.isin(keys))
+
+    def insert(self, t: Table, rows: list[tuple]) -> None:
+        """Rows of literals, all or none.
+
+        The keys are checked against stored rows before anything is written;
+        expired rows count until maintenance removes them.
+        """
+        if t.external is not None:
+            raise DialectError(f"table is read-only: {t.name}")
+        if t.key:
+            at = [c.name for c in t.columns].index(t.key)
+            keys = [r[at] for r in rows]
+            if len(set(keys)) < len(keys) or not self.stored(t, keys).isEmpty():
+                raise DialectError("duplicate primary key")
+        self._add("insert", t, self.spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], T.StructType([f for f in t.schema.fields if f.name != STMT])))
 
     def append(self, t: Table, rows: DataFrame, keys: str | None) -> None:
-        """All rows or none.  keys: the key column if it must be checked against stored rows.
+        """All rows (with SEQ) or none.  keys: the key column if it must be checked.
 
-        The check sees expired rows too, until maintenance removes them.
+        The batch is written first and its keys are read back, so the rows are
+        computed once; a batch that fails the check is never committed.
         """
         if t.external is not None:
             raise DialectError(f"table is read-only: {t.name}")
-        if keys and not pk_conflicts(rows, self.frame(t), keys).isEmpty():
-            raise DialectError("duplicate primary key")
-        self._add("insert", t, rows)
+        self._add("insert", t, rows, keys)
 
     def insert_frame(self, name: str, df: DataFrame) -> None:
         """Rows of a DataFrame by position, with the rules of INSERT: defaults for NULL, cut texts, unique keys."""
@@ -144,19 +189,34 @@ class Catalog:
             chosen.append((cut_column(value, c.length) if want == "str" else value).alias(c.name))
         self.append(t, df.select(*chosen, F.monotonically_increasing_id().alias(SEQ)), t.key)
 
-    def _add(self, op: str, t: Table, rows: DataFrame) -> None:
+    def _add(self, op: str, t: Table, rows: DataFrame, keys: str | None = None, options: dict[str, str] | None = None) -> None:
         # batches follow each other in the order of their statements
-        rows = rows.withColumn(SEQ, F.col(SEQ)) if op == "replace" else rows.withColumn(SEQ, F.lit((self.entry + 1) << 40) + F.col(SEQ))
-        if not self.files:
-            t.frames = [rows.persist()] if op == "replace" else [*t.frames, rows.persist()]
-            self._commit(op=op, table=t.name, batches=[])
-            return
+        rows = rows if op == "replace" else rows.withColumn(STMT, F.lit(self.entry + 1).cast("long")).select(*t.schema.names)
         folder = f"{t.name.lower()}/{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.warehouse}/{folder}")
-        old = t.batches if op == "replace" else []
-        self._commit(op=op, table=t.name, batches=[folder])
-        for b in old:
-            self.files.delete(b)
+        if self.files:
+            rows.write.options(**(options or {})).parquet(f"{self.warehouse}/{folder}")
+        else:
+            rows = rows.persist()
+        if keys:
+            new = self.spark.read.schema(t.schema).parquet(f"{self.warehouse}/{folder}") if self.files else rows
+            if not self._unique(t, new, keys):
+                self.files.delete(folder) if self.files else rows.unpersist()
+                raise DialectError("duplicate primary key")
+        if self.files:
+            self._commit(op=op, table=t.name, batches=[folder])
+            return
+        if op == "replace":
+            self._retire(t)
+        t.frames = [rows] if op == "replace" else [*t.frames, rows]
+        self._commit(op=op, table=t.name, batches=[])
+
+    def _unique(self, t: Table, new: DataFrame, key: str) -> bool:
+        """Are the new keys distinct, and none of them stored?  Only stored keys of their range are read."""
+        low, high = new.agg(F.min(f"`{key}`"), F.max(f"`{key}`")).first()
+        if low is None:
+            return True
+        near = self.frame(t).where((F.col(f"`{key}`") >= low) & (F.col(f"`{key}`") <= high))
+        return pk_conflicts(new, near, key).isEmpty()
 
     # --- maintenance ---
 
@@ -170,6 +230,37 @@ class Catalog:
         return gone
 
     def compact(self, t: Table) -> None:
-        """One batch instead of many."""
-        if self.files and len(t.batches) > 1:
-            self._add("replace", t, self.frame(t).coalesce(max(1, min(len(t.batches) // 8 + 1, 200))))
+        """One batch instead of many, clustered by the key and with Bloom filters on it."""
+        if not self.files or len(t.batches) < 2:
+            return
+        frame = self.frame(t)
+        n = frame.count()
+        files = max(1, -(-n // FILE_ROWS))
+        order = [t.key] if t.key else list(HIDDEN)
+        bloom = {f"parquet.bloom.filter.enabled#{t.key}": "true", f"parquet.bloom.filter.expected.ndv#{t.key}": str(max(1, n // files))} if t.key else None
+        self._add("replace", t, frame.repartitionByRange(files, *order).sortWithinPartitions(*order), options=bloom)
+
+    def _retire(self, t: Table) -> None:
+        self.retired_frames += [(time.time(), f) for f in t.frames]
+
+    def vacuum(self, older_than: float) -> int:
+        """Remove what no table has named for so many seconds; how many folders.
+
+        A reader's DataFrame works at least that long after a statement has
+        replaced what it reads.
+        """
+        limit = time.time() - older_than
+        for _, f in (x for x in self.retired_frames if x[0] <= limit):
+            f.unpersist()
+        self.retired_frames = [x for x in self.retired_frames if x[0] > limit]
+        if not self.files:
+            return 0
+        used, removed = {b for t in self.tables.values() for b in t.batches}, 0
+        for folder in (f for f in self.files.names("") if f != "_log"):
+            for name, changed in self.files.changed(folder):
+                batch = f"{folder}/{name}"
+                if batch not in used and self.retired.get(batch, changed) <= limit:
+                    self.files.delete(batch)
+                    self.retired.pop(batch, None)
+                    removed += 1
+        return removed

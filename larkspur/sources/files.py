@@ -18,6 +18,10 @@ class Files:
         path = self._path(folder)
         return sorted(s.getPath().getName() for s in self.fs.listStatus(path)) if self.fs.exists(path) else []
 
+    def changed(self, folder: str) -> list[tuple[str, float]]:
+        """Names in a folder with the time of their last change, in seconds."""
+        return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in self.fs.listStatus(self._path(folder))]
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self._path(name))
         try:

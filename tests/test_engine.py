@@ -1,11 +1,15 @@
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.cli import shell
-from larkspur.functions.values import cut, render
+from larkspur.functions.values import cut, cut_column, render
 from larkspur.plans.dialect import DialectError
+from larkspur.plans.planner import join_condition
 from larkspur.session import Engine
 
-USERS = "CREATE TABLE TEST_USERS (ID DECIMAL, NAME VARCHAR(64), BALANCE DECIMAL, EXPIRES_AT DECIMAL); INSERT INTO TEST_USERS VALUES (1,'Alice',1200,1893456000),(2,'Bob',450,1893456000),(3,'Carol',2200,1893456000),(4,'Dave',800,1893456000)"
+SHIPS = "CREATE TABLE SHIPS (HULL DECIMAL, NAME VARCHAR(64), TONS DECIMAL, EXPIRES_AT DECIMAL); INSERT INTO SHIPS VALUES (11,'Heron',310,1900000000),(4,'Tern',95,1900000000),(27,'Skua',1480,1900000000),(8,'Plover',620,1900000000)"
 NOW = 1_700_000_000
 
 
@@ -24,26 +28,26 @@ def refused(engine, sql):
     return str(e.value)
 
 
-def test_users_and_orders(engine):
-    engine.exec(USERS)
-    assert rows(engine, "SELECT * FROM TEST_USERS") == ["1 | Alice | 1200 | 1893456000", "2 | Bob | 450 | 1893456000", "3 | Carol | 2200 | 1893456000", "4 | Dave | 800 | 1893456000"]
-    assert rows(engine, "SELECT NAME, BALANCE FROM TEST_USERS WHERE ID = 2") == ["Bob | 450"]
-    assert rows(engine, "SELECT NAME FROM TEST_USERS WHERE BALANCE > 1000") == ["Alice", "Carol"]
-    assert rows(engine, "SELECT NAME FROM TEST_USERS WHERE BALANCE > 5000") == []
-    assert refused(engine, "INSERT INTO TEST_USERS VALUES (9,'x',1,1),(1,'y',1,1)") == "duplicate primary key"
-    assert refused(engine, "INSERT INTO TEST_USERS VALUES (9,'x',1,1),(9,'y',1,1)") == "duplicate primary key"
-    assert rows(engine, "SELECT COUNT(*) FROM TEST_USERS") == ["4"]
-    engine.exec("CREATE TABLE O (ORDER_ID DECIMAL, USER_ID DECIMAL, AMOUNT DECIMAL); INSERT INTO O VALUES (101,1,50),(102,1,150),(103,3,500)")
-    assert rows(engine, "SELECT u.NAME AS who, o.AMOUNT FROM TEST_USERS u INNER JOIN O o ON o.USER_ID = u.ID WHERE o.AMOUNT > 100") == ["Alice | 150", "Carol | 500"]
-    assert engine.exec("SELECT u.NAME AS who FROM TEST_USERS u INNER JOIN O o ON o.USER_ID = u.ID")[0].columns == ("who",)
+def test_statements_and_refusals(engine):
+    engine.exec(SHIPS)
+    assert rows(engine, "SELECT COUNT(*) FROM SHIPS WHERE TONS >= 310") == ["3"]
+    assert rows(engine, "SELECT TONS, NAME FROM ships WHERE HULL = 4") == ["95 | Tern"]
+    assert rows(engine, "SELECT * FROM SHIPS") == ["11 | Heron | 310 | 1900000000", "4 | Tern | 95 | 1900000000", "27 | Skua | 1480 | 1900000000", "8 | Plover | 620 | 1900000000"]
+    assert rows(engine, "SELECT HULL FROM SHIPS WHERE TONS > 9000 OR NAME = 'Skua' AND TONS < 1481") == ["27"]
+    for again in ("(5,'x',1,1),(27,'y',1,1)", "(5,'x',1,1),(5,'y',1,1)"):
+        assert refused(engine, f"INSERT INTO SHIPS VALUES {again}") == "duplicate primary key"
+    engine.exec("CREATE TABLE CALLS (NO INT, SHIP INT, CRATES INT); INSERT INTO CALLS VALUES (1,27,40),(2,8,3),(3,27,7),(4,99,5)")
+    assert rows(engine, "SELECT s.NAME AS ship, c.CRATES FROM SHIPS s INNER JOIN CALLS c ON c.SHIP = s.HULL WHERE c.CRATES < 30") == ["Skua | 7", "Plover | 3"]
+    assert engine.exec("SELECT s.NAME AS ship FROM SHIPS s INNER JOIN CALLS c ON c.SHIP = s.HULL")[0].columns == ("ship",)
     for sql, error in (
-        ("SELECT x FROM TEST_USERS", "unknown column: x"), ("SELECT ID FROM TEST_USERS WHERE x = 1", "unknown column: x"), ("SELECT * FROM missing", "no such table: missing"), ("CREATE TABLE test_users (a INT)", "table already exists"),
-        ("SELECT COUNT(*) FROM TEST_USERS INNER JOIN O ON ID = USER_ID", "COUNT(*) with JOIN is not supported"), ("SELECT * FROM TEST_USERS INNER JOIN O ON ID = nope", "unknown join column"),
-        ("SELECT * FROM TEST_USERS INNER JOIN O ON ID = USER_ID WHERE nope = 1", "unknown column in WHERE: nope"), ("INSERT INTO O VALUES (1)", "column count mismatch"), ("INSERT INTO O VALUES (1, 'a', 2)", "type mismatch: expected integer value"),
+        ("SELECT x FROM SHIPS", "unknown column: x"), ("SELECT HULL FROM SHIPS WHERE x = 1", "unknown column: x"), ("SELECT * FROM missing", "no such table: missing"), ("CREATE TABLE ships (a INT)", "table already exists"),
+        ("SELECT COUNT(*) FROM SHIPS INNER JOIN CALLS ON HULL = SHIP", "COUNT(*) with JOIN is not supported"), ("SELECT * FROM SHIPS INNER JOIN CALLS ON HULL = nope", "unknown join column"),
+        ("SELECT * FROM SHIPS INNER JOIN CALLS ON HULL = SHIP WHERE nope = 1", "unknown column in WHERE: nope"), ("INSERT INTO CALLS VALUES (1)", "column count mismatch"), ("INSERT INTO CALLS VALUES (1, 'a', 2)", "type mismatch: expected integer value"),
+        ("SELECT HULL FROM SHIPS UNION SELECT NO FROM CALLS", "unexpected tokens at end of query"), ("SELECT HULL, RANK() FROM SHIPS", "expected FROM"), ("SELECT * FROM (SELECT * FROM SHIPS)", "expected table name after FROM"), ("EXPLAIN SELECT * FROM SHIPS", "unsupported SQL statement"), ("BEGIN", "unsupported SQL statement"),
     ):
         assert refused(engine, sql) == error
-    engine.exec("DROP TABLE O; DROP TABLE IF EXISTS O")
-    assert refused(engine, "DROP TABLE O") == "no such table: O"
+    engine.exec("DROP TABLE CALLS; DROP TABLE IF EXISTS CALLS")
+    assert refused(engine, "DROP TABLE CALLS") == "no such table: CALLS"
 
 
 def test_values(engine):
@@ -103,6 +107,149 @@ def test_streaming_triples(spark, tmp_path):
     assert sorted((int(r.key), r.val1, r.val2) for r in current(spark, f"{tmp_path}/out").collect()) == [(1, 9, 9), (4, 7, 8)]
 
 
+def test_streaming_merges_batches_and_keeps_the_order_of_arrival(spark, tmp_path, monkeypatch):
+    from larkspur.streaming import triples
+
+    monkeypatch.setattr(triples, "SNAPSHOT_EVERY", 2)
+    (tmp_path / "in").mkdir()
+    for i in range(7):
+        (tmp_path / "in" / f"{i}.csv").write_text(f"1,{i},0\n{i + 10},1\n,1\n2,{i}\n,{i},2,{i},{i + 1}\n5,x,5\n6,6,6\n")
+        triples.ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check").awaitTermination()
+    got = {int(r.key): (r.val1, r.val2) for r in triples.current(spark, f"{tmp_path}/out").collect()}
+    assert got == {1: (6, 0), 2: (6, 7)} | {i + 10: (1, 1) for i in range(7)}
+    assert len(list((tmp_path / "out" / "snapshots").iterdir())) <= 3 and len(list((tmp_path / "out" / "batches").iterdir())) <= 3
+
+
+def test_triples_of_split_files(spark):
+    """Lines in many blocks give what the whole text gives, wherever lines cut triples."""
+    import random
+
+    from larkspur.streaming.triples import file_triples
+
+    r = random.Random(5)
+    lines, want = [], []
+    for file in ("a", "b", "c"):
+        fields, stop = [], False
+        for k in range(60):
+            part = [str(r.choice((r.randrange(10), 10**30 + r.randrange(99), (1 << 64) + 7))) for _ in range(r.randrange(5))]
+            bad = file == "b" and k == 41
+            lines.append((file, k // 7, k, ",".join(part) + ("," * (k % 3)) + ("z,1,1,1" if bad else "")))
+            fields += [] if stop else part
+            stop |= bad
+        want += [(int(fields[i]) % (1 << 64), int(fields[i + 1]) % (1 << 32), int(fields[i + 2]) % (1 << 32)) for i in range(0, len(fields) // 3 * 3, 3)]
+    got = file_triples(spark.createDataFrame(lines, "file string, block long, line long, value string").repartition(6))
+    assert [(int(x.key), x.val1, x.val2) for x in got.orderBy("place").collect()] == want
+
+
+def test_readers_keep_what_they_started_with(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    engine.exec("CREATE TABLE T (ID INT, EXPIRES_AT INT); INSERT INTO T VALUES (1, 100), (2, 300); INSERT INTO T VALUES (3, 100)")
+    before = engine.sql("SELECT ID FROM T", now=50)
+    assert engine.maintain(now=200) == {"T": 2}
+    engine.catalog.compact(engine.catalog.get("T"))
+    engine.exec("INSERT INTO T VALUES (9, 500)")
+    after = engine.sql("SELECT ID FROM T", now=50)
+    engine.exec("DROP TABLE T")
+    assert sorted(r.ID for r in before.collect()) == [1, 2, 3] and sorted(r.ID for r in after.collect()) == [2, 9]
+    spark.range(3).write.parquet(f"{tmp_path}/t/left-over")
+    assert engine.catalog.vacuum(3600) == 0
+    assert engine.catalog.vacuum(0) == 5 and list((tmp_path / "t").iterdir()) == []
+    assert Engine(spark, f"file://{tmp_path}").catalog.tables == {}
+
+
+def test_vacuum_after_replay_leaves_what_is_used(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    engine.exec("CREATE TABLE T (ID INT); INSERT INTO T VALUES (1); INSERT INTO T VALUES (2)")
+    engine.catalog.compact(engine.catalog.get("T"))
+    again = Engine(spark, f"file://{tmp_path}", retention=0)
+    again.maintain()
+    assert rows(again, "SELECT ID FROM T") == ["1", "2"] and len(list((tmp_path / "t").iterdir())) == 1
+
+
+def test_order_of_insertion_over_many_partitions(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    engine.exec("CREATE TABLE T (ID INT PRIMARY KEY, N TEXT)")
+    engine.catalog.insert_frame("T", spark.range(0, 2000, 1, 1000).selectExpr("2000 - id AS id", "'a'"))
+    engine.exec("INSERT INTO T VALUES (-5, 'last'), (5000, 'very last')")
+    want = [str(2000 - i) for i in range(2000)] + ["-5", "5000"]
+    assert rows(engine, "SELECT ID FROM T") == want
+    engine.catalog.compact(engine.catalog.get("T"))
+    assert rows(Engine(spark, f"file://{tmp_path}"), "SELECT ID FROM T") == want
+
+
+def test_callback_stops_before_later_batches_are_read(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    engine.exec("CREATE TABLE T (ID INT)")
+    for i in range(8):
+        engine.exec(f"INSERT INTO T VALUES ({i})")
+    for batch in engine.catalog.get("T").batches[3:]:  # whoever reads them fails
+        for f in (tmp_path / batch).glob("*.parquet"):
+            f.write_bytes(b"broken")
+        for f in (tmp_path / batch).glob(".*.crc"):
+            f.unlink()
+    seen = []
+    assert engine.exec("SELECT ID FROM T", lambda c, r: seen.append(r[0]) or len(seen) == 3)[0].rows == ()
+    assert seen == ["0", "1", "2"] and not engine.cache
+    with pytest.raises(Exception, match="(?i)parquet"):
+        engine.exec("SELECT ID FROM T", lambda c, r: None)
+
+
+def test_cache_is_bounded_by_bytes(spark):
+    engine = Engine(spark, cache_bytes=4000)
+    engine.exec("CREATE TABLE T (ID INT, N VARCHAR(2000)); INSERT INTO T VALUES (1, 'x'), (2, '" + "y" * 1500 + "')")
+    engine.exec("SELECT N FROM T")
+    assert not engine.cache  # too large to be kept
+    for i in range(60):
+        engine.exec(f"SELECT ID FROM T WHERE ID > {-i}")
+    assert 0 < sum(n for _, n in engine.cache.values()) <= 4000 and len(engine.cache) < 60
+
+
+def test_insert_reads_only_what_its_keys_may_be_in(spark, tmp_path):
+    engine = Engine(spark, f"file://{tmp_path}")
+    engine.exec("CREATE TABLE T (N TEXT, ID INT PRIMARY KEY); INSERT INTO T VALUES ('a', 1), ('b', 2)")
+    plan = engine.catalog.stored(engine.catalog.get("T"), [5, 7])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ID,5)" in plan and "LessThanOrEqual(ID,7)" in plan and "In(ID, [5,7])" in plan and "ReadSchema: struct<ID:bigint>" in plan
+    engine.exec("INSERT INTO T VALUES ('c', 7)")
+    assert refused(engine, "INSERT INTO T VALUES ('d', 8), ('e', 7)") == "duplicate primary key"
+    engine.catalog.compact(engine.catalog.get("T"))
+    assert refused(engine, "INSERT INTO T VALUES ('d', 2)") == "duplicate primary key"
+
+
+def test_insert_frame_cuts_and_checks(spark, tmp_path):
+    texts = ["abc", "añb", "日本", "", None, "a\0b", "🙂🙂", "éé"]
+    for size in range(1, 9):
+        got = spark.createDataFrame([(t,) for t in texts], "t string").select(cut_column(F.col("t"), size).alias("c")).collect()
+        assert [r.c for r in got] == [None if t is None else cut(t, size) for t in texts]
+    engine = Engine(spark, f"file://{tmp_path}")
+    engine.exec("CREATE TABLE T (ID INT PRIMARY KEY, N VARCHAR(4), F FLOAT)")
+    engine.catalog.insert_frame("T", spark.createDataFrame([(1, "日本", 2), (None, None, None)], "a int, b string, c int"))
+    assert rows(engine, "SELECT * FROM T") == ["1 | 日 | 2", "0 |  | 0"]
+    for bad, error in (([(1, "x", 2)], "duplicate primary key"), ([(7, "x", 2), (7, "y", 2)], "duplicate primary key"), ([("a", "x", 2)], "type mismatch: expected integer value")):
+        with pytest.raises(DialectError, match=error):
+            engine.catalog.insert_frame("T", spark.createDataFrame(bad, f"a {'string' if bad[0][0] == 'a' else 'int'}, b string, c int"))
+    assert rows(engine, "SELECT COUNT(*) FROM T") == ["2"] and len(list((tmp_path / "t").iterdir())) == 1
+
+
+def test_doubles_join_texts_as_they_are_rendered(spark):
+    values = [1.0, 0.1, 1e20, -2.5, 1e-7, 123456789.123456789, float("nan")]
+    left = spark.createDataFrame([(v,) for v in [*values, None]], "x double")
+    right = spark.createDataFrame([(render(v),) for v in values], "t string")
+    on = join_condition((left["x"], "float", "x"), (right["t"], "str", "t"))
+    assert sorted(r.t for r in left.join(right, on).collect()) == sorted(render(v) for v in values if v == v)
+
+
+def test_maintenance_in_the_background(spark):
+    engine = Engine(spark)
+    engine.exec("CREATE TABLE T (ID INT, EXPIRES_AT INT); INSERT INTO T VALUES (1, 100)")
+    stop = engine.maintain_every(0.2)
+    end = time.time() + 20
+    before = engine.catalog.get("T").version
+    while engine.catalog.get("T").version == before and time.time() < end:
+        time.sleep(0.1)
+    stop()
+    assert rows(engine, "SELECT COUNT(*) FROM T", now=0) == ["0"]
+
+
 def test_plans(spark):
     data = "/root/testdata/sf0.001"
     engine = Engine.over(spark, data, "orders", "customer")
