@@ -38,7 +38,9 @@ COSINE = 0.93
 STEPS = ((50_000, 2, 0.55, 3, 12), (500_000, 3, 0.5, 4, 20), (5_000_000, 3, 0.55, 4, 29), (1 << 62, 4, 0.45, 4, 32))
 SEED = 11
 #: Members of a cell that one task compares at once; numbers of a matrix of vectors that it multiplies at once.
-PART, NUMBERS = 1024, 1 << 22
+PART, NUMBERS = 512, 1 << 22
+#: Members from which on a cell is compared as one matrix product.
+DENSE = 24
 
 
 def neighbours() -> np.ndarray:
@@ -176,22 +178,59 @@ class Meetings:
         return np.minimum(np.where(ab[at, table], ka[at, table, 0], far), np.where(ba[at, table], kb[at, table, 0], far)) == self.rows["key"][x]
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rows, size = self.rows, np.unique(self.rows["cell"], return_counts=True)[1]
-        end = np.repeat(np.cumsum(size), size)
-        at_once = max(1, NUMBERS // max(1, self.unit.shape[1]))
-        for d in range(1, int(size.max(initial=1))):
-            i = np.flatnonzero(np.arange(len(end)) + d < end)
+        start, size = np.unique(self.rows["cell"], return_index=True, return_counts=True)[1:]
+        for a, n in zip(start[size >= DENSE].tolist(), size[size >= DENSE].tolist(), strict=True):
+            yield self._dense(np.arange(a, a + n))
+        yield from self._sparse(np.repeat(start + size, size), np.repeat(size < DENSE, size))
+
+    def _dense(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of the rows x, which are one cell."""
+        rows, unit = self.rows, self.unit[self.place[x]]
+        each = lambda c: (rows[c][x][:, None], rows[c][x][None, :])
+        near = np.triu(unit @ unit.T >= self.cosine, 1)
+        near &= np.logical_or(*each("home")) & np.equal(*each("label")) & np.not_equal(*each("id"))
+        if rows["p"][x[0]] != rows["q"][x[0]]:
+            near &= np.not_equal(*each("part"))
+        some = near.any(axis=0) | near.any(axis=1)
+        x, near = x[some], near[np.ix_(some, some)]
+        if not len(x):
+            return x, x
+        keys, here = self._keys(self.place[x], rows["label"][x]), rows["key"][x[0]]
+        table = int(np.flatnonzero((keys[0] == here).any(axis=1))[0])
+
+        def met(t: int) -> np.ndarray:  # [i, j]: j has the home of i
+            home, out = keys[:, t, :1], np.zeros(near.shape, bool)
+            for p in range(keys.shape[2]):
+                out |= home == keys[None, :, t, p]
+            return out
+
+        for t in range(table):
+            m = met(t)
+            near &= ~(m | m.T)
+            if not near.any():
+                return x[:0], x[:0]
+        m, home, far = met(table), keys[:, table, 0], np.uint64(0xFFFFFFFFFFFFFFFF)
+        near &= np.minimum(np.where(m, home[:, None], far), np.where(m.T, home[None, :], far)) == here
+        i, j = np.nonzero(near)
+        return x[i], x[j]
+
+    def _sparse(self, end: np.ndarray, few: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows that few marks; end: where the cell of each row ends."""
+        rows, at_once = self.rows, max(1, NUMBERS // max(1, self.unit.shape[1]))
+        for d in range(1, DENSE):
+            i = np.flatnonzero(few & (np.arange(len(end)) + d < end))
+            if not len(i):
+                break
             j = i + d
             ok = (rows["home"][i] | rows["home"][j]) & (rows["label"][i] == rows["label"][j]) & ((rows["p"][i] == rows["q"][i]) | (rows["part"][i] != rows["part"][j])) & (rows["id"][i] != rows["id"][j])
             i, j = i[ok], j[ok]
             for s in range(0, len(i), at_once):
                 x, y = i[s : s + at_once], j[s : s + at_once]
                 hit = np.einsum("ij,ij->i", self.unit[self.place[x]], self.unit[self.place[y]]) >= self.cosine
-                x, y = x[hit], y[hit]
-                for k in range(0, len(x), 50_000):
-                    a, b = x[k : k + 50_000], y[k : k + 50_000]
-                    here = self._first(a, b)
-                    yield a[here], b[here]
+                if hit.any():
+                    x, y = x[hit], y[hit]
+                    here = self._first(x, y)
+                    yield x[here], y[here]
 
 
 def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, steps: tuple[tuple[int, int, float, int, int], ...] = STEPS) -> DataFrame:
@@ -255,9 +294,10 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
                 met = Meetings(own_rows, _unit(vec), among, built.setdefault(dim, Tables(dim, *figures)), cosine)
                 links, root = np.zeros(len(at), np.int64), np.arange(len(at))
                 for a, b in met.pairs():
-                    np.add.at(links, among[a], own_rows["copies"][b])
-                    np.add.at(links, among[b], own_rows["copies"][a])
-                    root = _roots(root, among[a], among[b])
+                    if len(a):
+                        x, y = among[np.concatenate([a, b])], own_rows["copies"][np.concatenate([b, a])]
+                        links += np.bincount(x, weights=y, minlength=len(at)).astype(np.int64)
+                        root = _roots(root, among[a], among[b])
                 some = np.flatnonzero(links)
                 out_id.append(ids[at[some]])
                 out_links.append(links[some])
@@ -299,6 +339,7 @@ def near_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
 
 def op9_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 9 on all of ``embeddings``; nulls, repeated rows and other columns as :func:`near_vectors` says."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
