@@ -16,11 +16,16 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from larkspur.llm.bpe import default_tokenizer, encoder
 from larkspur.llm.scratch import Scratch
 
-SPAN = 1024
+SPAN = 64
 
 
 def lengths(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs) partial counts, one per distinct length and task; null counts as the empty text."""
+    """(n_tokens, n_docs) partial counts, one per distinct length and task.
+
+    Defined results: null counts as the empty text, of no tokens; a text of any
+    length is encoded as a whole; repeated rows count each time; other columns,
+    whatever their names, are ignored; an empty table gives no rows.
+    """
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,4 +76,5 @@ def quantile(sums: DataFrame, q: float) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 on all of ``documents``; nulls, repeated rows and other columns as :func:`lengths` says."""
     return suffix_sums(lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))
