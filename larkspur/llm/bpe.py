@@ -221,8 +221,10 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each whole text.
 
     Special tokens written in a text get their ids, as the tokenizers library
-    does by default.  Defined results: null counts as the empty text; repeated
-    rows give repeated rows; other columns are ignored.
+    does by default.  Defined results: null counts as the empty text, a null id
+    stays null; a text of any length is encoded as a whole and decoded in parts
+    of SLICE tokens; repeated rows give repeated rows; other columns, whatever
+    their names, are ignored; an empty table gives an empty one.
     """
     path = tokenizer or default_tokenizer()
 
@@ -237,7 +239,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """doc_id and the ids themselves."""
+    """doc_id and the ids themselves; odd rows as in :func:`encode_documents`."""
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,4 +251,5 @@ def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 2 on all of ``documents``; nulls, repeated rows and other columns as :func:`encode_documents` says."""
     return encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

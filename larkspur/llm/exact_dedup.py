@@ -116,8 +116,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     (code points), then the smallest id.  Defined results: a null text counts
     as empty, so all empty, blank and null texts are one group; of rows that
     repeat the id of the row that stays every one is marked kept; a null id
-    comes after all others; other columns are ignored.  digest: another
-    32-byte digest of column ``_norm``, for tests of colliding ones.
+    comes after all others; texts of any length are compared as a whole; other
+    columns, whatever their names, are ignored; an empty table gives an empty
+    one.  digest: another 32-byte digest of column ``_norm``, for tests of
+    colliding ones.
     """
     scratch = Scratch(docs.sparkSession, "exact")
     read = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(B.NULL_ID)).alias("doc_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("length"), normalised(F.col(text_col)).alias("_norm"))
@@ -151,18 +153,26 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that stay: one of each group, also of rows that repeat an id."""
-    stays = dedup(docs, id_col, text_col).where("kept").groupBy(F.col("doc_id").alias("_stay_id"), F.col("text_sha256").alias("_stay_sha")).agg(F.count(F.lit(1)).alias("_stay_n"))
-    same = docs[id_col].cast("long").eqNullSafe(F.col("_stay_id")) & (F.sha2(normalised(docs[text_col]), 256) == F.col("_stay_sha"))
-    again = stays.where("_stay_n > 1")
+    """The rows of docs, all columns, that stay: one of each group, also of rows that repeat an id.
+
+    Defined results: as :func:`dedup`; of rows that repeat the id of the row
+    that stays the longest text stays, then the greatest row as JSON; all
+    columns come back as they are, whatever their names; an empty table gives
+    an empty one.
+    """
+    stays = dedup(docs, id_col, text_col).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("i"), F.sha2(normalised(F.col(text_col)), 256).alias("s"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("l"))
+    same = F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("s") == F.col("text_sha256"))
+    again = stays.where("n > 1")
     if again.isEmpty():
-        return docs.join(stays, same, "left_semi")
-    single = docs.join(stays.where("_stay_n = 1"), same, "left_semi")
-    one = docs.join(again, same, "left_semi").select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("i"), F.sha2(normalised(F.col(text_col)), 256).alias("s"), F.length(text_col).alias("l"))
-    return single.unionByName(one.groupBy("i", "s").agg(F.max_by("row", F.coalesce("l", F.lit(0))).alias("row")).select("row.*"))
+        return rows.join(stays, same, "left_semi").select("row.*")
+    single = rows.join(stays.where("n = 1"), same, "left_semi").select("row.*")
+    one = rows.join(again, same, "left_semi").groupBy("i", "s").agg(F.max_by("row", F.struct("l", F.to_json("row"))).alias("row"))
+    return single.unionByName(one.select("row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 5 on all of ``documents``; nulls, ties, repeated rows and other columns as :func:`dedup` says."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 

@@ -100,7 +100,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score_documents(docs: DataFrame, model: Ranking, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; a null text scores as the empty one; other columns are ignored."""
+    """doc_id and score (0 to 1) of every whole text.
+
+    Defined results: a null or blank text scores as one with all statistics
+    zero; equal texts score equally, also at the threshold; a text of any
+    length is measured as a whole; repeated rows give repeated rows; other
+    columns, whatever their names, are ignored; an empty table gives an empty one.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few hundred numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +119,7 @@ def score_documents(docs: DataFrame, model: Ranking, id_col: str = "doc_id", tex
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 on all of ``documents``; nulls, ties, repeated rows and other columns as :func:`score_documents` says."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scored = score_documents(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
