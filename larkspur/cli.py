@@ -6,6 +6,7 @@ import sys
 
 from larkspur.plans.dialect import DialectError
 from larkspur.session import Engine
+from larkspur.wire import Server
 
 EXIT = {"exit", "quit", ".exit", ".quit"}
 #: Seconds between two rounds of maintenance.
@@ -34,6 +35,8 @@ def main() -> None:
     spark = SparkSession.builder.appName("larkspur").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     engine = Engine(spark, sys.argv[1] if len(sys.argv) > 1 else None)
     stop = engine.maintain_every(PURGE_SECONDS)
+    if len(sys.argv) > 2:  # a port: remote clients instead of this terminal
+        Server(engine, "0.0.0.0", int(sys.argv[2])).serve_forever()
     shell(engine, sys.stdin)
     stop()
 

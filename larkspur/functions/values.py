@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
+from larkspur.plans import messages as M
 from larkspur.plans.dialect import ColumnDef, DialectError, Literal
 
 INTEGRAL, FLOATING = ("DECIMAL", "INT", "DATETIME"), ("FLOAT", "REAL")
@@ -51,14 +52,14 @@ def coerce(literal: Literal, column: ColumnDef, drop_fraction: bool = False) ->
         if literal.kind == "float" and drop_fraction:
             return int(literal.value)
         if literal.kind not in ("int", "null"):
-            raise DialectError("type mismatch: expected integer value")
+            raise DialectError(M.NEEDS_INTEGER)
         return literal.value or 0
     if column.declared in FLOATING:
         if literal.kind not in ("int", "float", "null"):
-            raise DialectError("type mismatch: expected numeric value")
+            raise DialectError(M.NEEDS_NUMBER)
         return float(literal.value or 0)
     if literal.kind not in ("str", "null"):
-        raise DialectError("type mismatch: expected VARCHAR")
+        raise DialectError(M.NEEDS_TEXT)
     return cut(literal.value or "", column.length)
 
 

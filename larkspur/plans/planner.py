@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from larkspur.functions.values import kind_of, rendered_double
 from larkspur.operators.relational import HIDDEN, count_star, live
+from larkspur.plans import messages as M
 from larkspur.plans.dialect import ColRef, DialectError, Select, TableRef, Term
 
 _COMPARE = {"=": lambda a, b: a == b, "<": lambda a, b: a < b, ">": lambda a, b: a > b, "<=": lambda a, b: a <= b, ">=": lambda a, b: a >= b}
@@ -59,7 +60,7 @@ def where_chain(select: Select, inputs: list[Input], unknown: str) -> Column | N
         for t in group:
             found = resolve(t.column, inputs)
             if not found:
-                raise DialectError(f"{unknown}: {t.column}")
+                raise DialectError(unknown.format(t.column))
             terms.append(predicate(t, found[0], found[1]))
         groups.append(reduce(Column.__and__, terms))
     return reduce(Column.__or__, groups) if groups else None
@@ -82,20 +83,20 @@ def lower(select: Select, table: Callable[[str], DataFrame], now: int) -> DataFr
     if select.join:
         inputs.append(Input(select.join, live(table(select.join.name), now).alias("r"), "r"))
         if select.count_alias is not None:
-            raise DialectError("COUNT(*) with JOIN is not supported")
+            raise DialectError(M.COUNT_JOIN)
         sides = [resolve(ref, inputs) for ref in select.on]
         if None in sides:
-            raise DialectError("unknown join column")
+            raise DialectError(M.JOIN_COLUMN)
         df = inputs[0].df.join(inputs[1].df, join_condition(*sides), "inner")
     else:
         df = inputs[0].df
-    chosen = where_chain(select, inputs, "unknown column in WHERE" if select.join else "unknown column")
+    chosen = where_chain(select, inputs, M.WHERE_COLUMN if select.join else M.COLUMN)
     columns = []
     for ref, alias in select.items:
         # over one table a qualifier says nothing that the name does not
         found = resolve(ref if select.join else ColRef(ref.name), inputs)
         if not found:
-            raise DialectError(f"unknown column: {ref}")
+            raise DialectError(M.COLUMN.format(ref))
         columns.append(found[0].alias(alias or found[2]))
     if chosen is not None:
         df = df.where(chosen)

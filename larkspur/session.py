@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.functions.values import coerce, render
 from larkspur.operators.relational import ttl_column
+from larkspur.plans import messages as M
 from larkspur.plans.dialect import BulkInsert, Create, DialectError, Drop, Insert, Select, normalised, parse, split_statements
 from larkspur.plans.planner import lower
 from larkspur.sources.catalog import COMPACT_AT, HIDDEN, SEQ, Catalog, Table
@@ -38,7 +39,7 @@ class Engine:
     def __init__(self, spark: SparkSession, warehouse: str | None = None, cache_size: int = 256, cache_bytes: int = 64 << 20, retention: float = 3600):
         self.spark, self.catalog, self.cache_size, self.cache_bytes, self.retention = spark, Catalog(spark, warehouse), cache_size, cache_bytes, retention
         self.cache: OrderedDict[tuple, tuple[Result, int]] = OrderedDict()
-        self.writing = threading.RLock()
+        self.writing, self.caching = threading.RLock(), threading.Lock()
 
     @classmethod
     def over(cls, spark: SparkSession, folder: str, *tables: str) -> Engine:
@@ -57,7 +58,7 @@ class Engine:
         """The DataFrame of one SELECT; nothing runs yet."""
         statement = parse(text)
         if not isinstance(statement, Select):
-            raise DialectError("unsupported SQL statement")
+            raise DialectError(M.UNSUPPORTED)
         return self._frame(statement, int(time.time()) if now is None else now)
 
     def _frame(self, s: Select, now: int) -> DataFrame:
@@ -89,7 +90,7 @@ class Engine:
         now = int(time.time()) if now is None else now
         statements = split_statements(text)
         if not statements:
-            raise DialectError("empty SQL")
+            raise DialectError(M.EMPTY)
         results = []
         for s in statements:
             if not callback:
@@ -122,13 +123,19 @@ class Engine:
         return Result()
 
     def _select(self, text: str, s: Select, now: int) -> Result:
-        key = self._key(text, s, now)
-        if key not in self.cache:
-            columns, rows = self._stream(text, s, now, whole=True)
-            result = Result(columns, tuple(rows))
-            return self.cache.get(key, (result, 0))[0]
-        self.cache.move_to_end(key)
-        return self.cache[key][0]
+        found = self._cached(self._key(text, s, now))
+        if found:
+            return found
+        columns, rows = self._stream(text, s, now, whole=True)
+        result = Result(columns, tuple(rows))
+        return self._cached(self._key(text, s, now)) or result
+
+    def _cached(self, key: tuple) -> Result | None:
+        with self.caching:
+            if key not in self.cache:
+                return None
+            self.cache.move_to_end(key)
+            return self.cache[key][0]
 
     def _key(self, text: str, s: Select, now: int) -> tuple:
         tables = [self.catalog.get(r.name) for r in (s.table, s.join) if r]
@@ -141,9 +148,8 @@ class Engine:
         whole: all rows are wanted, so they are read by one job.
         """
         key = self._key(text, s, now)
-        if key in self.cache:
-            self.cache.move_to_end(key)
-            found = self.cache[key][0]
+        found = self._cached(key)
+        if found:
             return found.columns, iter(found.rows)
         if whole or s.join or s.count_alias is not None:
             frames = [self._ordered(s, now)]
@@ -168,10 +174,11 @@ class Engine:
             self._keep(key, Result(columns, tuple(held)), size)
 
     def _keep(self, key: tuple, result: Result, size: int) -> None:
-        self.cache[key] = result, size
-        total = sum(n for _, n in self.cache.values())
-        while len(self.cache) > self.cache_size or total > self.cache_bytes:
-            total -= self.cache.popitem(last=False)[1][1]
+        with self.caching:
+            self.cache[key] = result, size
+            total = sum(n for _, n in self.cache.values())
+            while len(self.cache) > self.cache_size or total > self.cache_bytes:
+                total -= self.cache.popitem(last=False)[1][1]
 
     def _ordered(self, s: Select, now: int, table: Callable[[str], DataFrame] | None = None) -> DataFrame:
         """As _frame, in the order of insertion where the tables record it; joins left-major."""
@@ -191,7 +198,7 @@ class Engine:
         rows = []
         for given in s.rows:
             if len(given) != len(t.columns):
-                raise DialectError("column count mismatch")
+                raise DialectError(M.COLUMN_COUNT)
             rows.append(tuple(coerce(v, c, drop_fraction) for v, c in zip(given, t.columns, strict=True)))
         self.catalog.insert(t, rows)
 
@@ -201,16 +208,16 @@ class Engine:
 
     def _bulk(self, s: BulkInsert) -> None:
         if "big_users" not in self.catalog.tables:
-            raise DialectError("no such table: big_users")
+            raise DialectError(M.NO_TABLE.format("big_users"))
         t = self.catalog.get("big_users")
         if not self._is_big_users(t):
-            raise DialectError("BIG_USERS schema mismatch")
+            raise DialectError(M.BIG_USERS_SCHEMA)
         if not s.count:
             return
         # made keys are distinct: the stored ones of the same range are the only conflict, and the range is pushed to the scan
         key = F.col(t.columns[0].name)
         if not self.catalog.frame(t).where((key >= s.start) & (key < s.start + s.count)).isEmpty():
-            raise DialectError("duplicate primary key")
+            raise DialectError(M.DUPLICATE_KEY)
         made = bulk_generate(self.spark, s.start, s.count)
         self.catalog.append(t, made.toDF(*[c.name for c in t.columns]).withColumn(SEQ, key - s.start), None)
 

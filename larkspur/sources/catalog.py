@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from larkspur.functions.values import INTEGRAL, cut_column, kind_of, spark_type, with_defaults
 from larkspur.operators.relational import HIDDEN, expired, live, pk_conflicts, ttl_column
+from larkspur.plans import messages as M
 from larkspur.plans.dialect import ColumnDef, DialectError
 from larkspur.sources.files import Files
 
@@ -90,7 +91,7 @@ class Catalog:
     def get(self, name: str) -> Table:
         found = self.tables.get(name.lower())
         if not found:
-            raise DialectError(f"no such table: {name}")
+            raise DialectError(M.NO_TABLE.format(name))
         return found
 
     def frame(self, t: Table) -> DataFrame:
@@ -127,10 +128,10 @@ class Catalog:
 
     def create(self, name: str, columns: tuple[ColumnDef, ...]) -> None:
         if name.lower() in self.tables:
-            raise DialectError("table already exists")
+            raise DialectError(M.TABLE_EXISTS)
         lower = [c.name.lower() for c in columns]
         if len(set(lower)) < len(lower) or set(HIDDEN) & set(lower):
-            raise DialectError("duplicate column name")
+            raise DialectError(M.DUPLICATE_COLUMN)
         self._commit(op="create", table=name, columns=[c.__dict__ for c in columns])
 
     def drop(self, name: str, if_exists: bool) -> None:
@@ -157,12 +158,12 @@ class Catalog:
         expired rows count until maintenance removes them.
         """
         if t.external is not None:
-            raise DialectError(f"table is read-only: {t.name}")
+            raise DialectError(M.READ_ONLY.format(t.name))
         if t.key:
             at = [c.name for c in t.columns].index(t.key)
             keys = [r[at] for r in rows]
             if len(set(keys)) < len(keys) or not self.stored(t, keys).isEmpty():
-                raise DialectError("duplicate primary key")
+                raise DialectError(M.DUPLICATE_KEY)
         self._add("insert", t, self.spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], T.StructType([f for f in t.schema.fields if f.name != STMT])))
 
     def append(self, t: Table, rows: DataFrame, keys: str | None) -> None:
@@ -172,19 +173,19 @@ class Catalog:
         computed once; a batch that fails the check is never committed.
         """
         if t.external is not None:
-            raise DialectError(f"table is read-only: {t.name}")
+            raise DialectError(M.READ_ONLY.format(t.name))
         self._add("insert", t, rows, keys)
 
     def insert_frame(self, name: str, df: DataFrame) -> None:
         """Rows of a DataFrame by position, with the rules of INSERT: defaults for NULL, cut texts, unique keys."""
         t = self.get(name)
         if len(df.columns) != len(t.columns):
-            raise DialectError("column count mismatch")
+            raise DialectError(M.COLUMN_COUNT)
         chosen = []
         for f, c in zip(df.schema.fields, t.columns, strict=True):
             want, have = kind_of(spark_type(c)), kind_of(f.dataType)
             if have != want and (want, have) != ("float", "int"):
-                raise DialectError(f"type mismatch: expected {dict(int='integer value', float='numeric value', str='VARCHAR')[want]}")
+                raise DialectError(dict(int=M.NEEDS_INTEGER, float=M.NEEDS_NUMBER, str=M.NEEDS_TEXT)[want])
             value = with_defaults(F.col(f"`{f.name}`").cast(spark_type(c)), want)
             chosen.append((cut_column(value, c.length) if want == "str" else value).alias(c.name))
         self.append(t, df.select(*chosen, F.monotonically_increasing_id().alias(SEQ)), t.key)
@@ -201,7 +202,7 @@ class Catalog:
             new = self.spark.read.schema(t.schema).parquet(f"{self.warehouse}/{folder}") if self.files else rows
             if not self._unique(t, new, keys):
                 self.files.delete(folder) if self.files else rows.unpersist()
-                raise DialectError("duplicate primary key")
+                raise DialectError(M.DUPLICATE_KEY)
         if self.files:
             self._commit(op=op, table=t.name, batches=[folder])
             return

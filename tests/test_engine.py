@@ -257,3 +257,21 @@ def test_plans(spark):
     assert "EqualTo(o_orderkey,42)" in plan and "ReadSchema: struct<o_orderkey:bigint>" in plan
     plan = engine.sql("SELECT c_name FROM customer INNER JOIN orders ON c_custkey = o_custkey WHERE o_totalprice > 5")._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "GreaterThan(o_totalprice,5.0)" in plan
+
+
+def test_remote_client(spark):
+    from larkspur.wire import Server, connect, encode_row
+
+    assert encode_row(("a", "é"), ("x", "")) == b"ROW 2 1:a1:x2:\xc3\xa90:\n"
+    with Server(Engine(spark)) as server, connect("127.0.0.1", server.port) as client, connect("127.0.0.1", server.port) as other:
+        client.exec("CREATE TABLE T (ID INT PRIMARY KEY, N TEXT); INSERT INTO T VALUES (1, 'a;b'), (2, 'née'), (3, 'OK')")
+        client.socket.sendall("SELECT N FROM T WHERE N = 'n".encode() + b"\xc3")
+        time.sleep(0.2)
+        client.socket.sendall(b"\xa9e';")
+        assert list(client._rows()) == [(("N",), ("née",))]
+        assert other.exec("SELECT * FROM T")[0].rows == (("1", "a;b"), ("2", "née"), ("3", "OK"))
+        with pytest.raises(DialectError, match="duplicate primary key"):
+            other.exec("INSERT INTO T VALUES (3, 'x')")
+        seen = []
+        other.exec("SELECT ID FROM T; SELECT N FROM T", lambda c, r: seen.append(r[0]) or len(seen) == 2)
+        assert seen == ["1", "2"] and client.exec("SELECT COUNT(*) AS c FROM T")[0].rows == (("3",),)
