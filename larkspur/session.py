@@ -214,12 +214,8 @@ class Engine:
             raise DialectError(M.BIG_USERS_SCHEMA)
         if not s.count:
             return
-        # made keys are distinct: the stored ones of the same range are the only conflict, and the range is pushed to the scan
-        key = F.col(t.columns[0].name)
-        if not self.catalog.frame(t).where((key >= s.start) & (key < s.start + s.count)).isEmpty():
-            raise DialectError(M.DUPLICATE_KEY)
-        made = bulk_generate(self.spark, s.start, s.count)
-        self.catalog.append(t, made.toDF(*[c.name for c in t.columns]).withColumn(SEQ, key - s.start), None)
+        made = bulk_generate(self.spark, s.start, s.count).toDF(*[c.name for c in t.columns])
+        self.catalog.insert_range(t, made.withColumn(SEQ, F.col(t.columns[0].name) - s.start), s.start, s.start + s.count - 1)
 
     # --- maintenance ---
 

@@ -12,12 +12,14 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from larkspur.functions.values import INTEGRAL, cut_column, kind_of, spark_type, with_defaults
-from larkspur.operators.relational import HIDDEN, expired, live, pk_conflicts, ttl_column
+from larkspur.operators.relational import HIDDEN, expired, live, pk_conflicts, pk_violations, ttl_column
 from larkspur.plans import messages as M
 from larkspur.plans.dialect import ColumnDef, DialectError
 from larkspur.sources.files import Files
@@ -35,6 +37,8 @@ class Table:
     version: int = 0
     batches: list[str] = field(default_factory=list)
     frames: list[DataFrame] = field(default_factory=list)  # of tables kept in memory
+    #: smallest and largest key of each batch; None: not known
+    zones: list[list[int] | None] = field(default_factory=list)
     external: DataFrame | None = None
 
     @property
@@ -84,6 +88,7 @@ class Catalog:
             if e["op"] == "replace":
                 self.retired |= dict.fromkeys(t.batches, e["at"])
             t.batches = [*t.batches, *e["batches"]] if e["op"] == "insert" else e["batches"]
+            t.zones = [*t.zones, e.get("keys")] if e["op"] == "insert" else [e.get("keys")]
             t.version = self.entry + 1
 
     # --- tables ---
@@ -98,28 +103,30 @@ class Catalog:
         """All rows as they are now; later statements do not change what it reads."""
         if t.external is not None:
             return t.external
-        return next(iter(self._frames(t, [(0, len(t.batches) + len(t.frames))])))
+        return self._read(t, range(len(t.zones)))
 
     def parts(self, t: Table) -> list[DataFrame]:
         """The rows in the order of their statements, in pieces of one batch, two, four and so on."""
         if t.external is not None:
             return [t.external]
-        n, cuts = len(t.batches) + len(t.frames), [0]
+        n, cuts = len(t.zones), [0]
         while cuts[-1] < n:
             cuts.append(min(n, 2 * cuts[-1] + 1))
-        return list(self._frames(t, list(zip(cuts, cuts[1:], strict=False)) or [(0, 0)]))
-
-    def _frames(self, t: Table, ranges: list[tuple[int, int]]):
-        for i, j in ranges:
-            if t.frames:
-                out = t.frames[i]
-                for f in t.frames[i + 1 : j]:
-                    out = out.unionByName(f)
-                yield out
-            elif t.batches:
-                yield self.spark.read.schema(t.schema).parquet(*[f"{self.warehouse}/{b}" for b in t.batches[i:j]])
-            else:
-                yield self.spark.createDataFrame([], t.schema)
+        return [self._read(t, range(i, j)) for i, j in zip(cuts, cuts[1:], strict=False)] or [self._read(t, [])]
+
+    def _read(self, t: Table, which: Sequence[int]) -> DataFrame:
+        """The rows of some batches, by their places."""
+        if not which:
+            return self.spark.createDataFrame([], t.schema)
+        if self.files:
+            return self.spark.read.schema(t.schema).parquet(*[f"{self.warehouse}/{t.batches[i]}" for i in which])
+        return reduce(DataFrame.unionByName, [t.frames[i] for i in which])
+
+    def keys_between(self, t: Table, low: int, high: int) -> DataFrame | None:
+        """Stored keys of a range, from those batches that may have some; None if no batch may."""
+        which = [i for i, z in enumerate(t.zones) if not z or z[0] <= high and low <= z[1]]
+        key = F.col(f"`{t.key}`")
+        return self._read(t, which).select(key).where((key >= low) & (key <= high)) if which else None
 
     def register(self, name: str, df: DataFrame) -> None:
         """A read-only table with its Spark types; no key is enforced."""
@@ -146,10 +153,10 @@ class Catalog:
 
     # --- rows ---
 
-    def stored(self, t: Table, keys: list[int]) -> DataFrame:
-        """Those of the keys that are stored; range and keys reach the Parquet scan."""
-        key = F.col(f"`{t.key}`")
-        return self.frame(t).select(key).where((key >= min(keys)) & (key <= max(keys)) & key.isin(keys))
+    def stored(self, t: Table, keys: list[int]) -> DataFrame | None:
+        """Those of the keys that are stored; range and keys reach the Parquet scan.  None: no batch may have any."""
+        near = self.keys_between(t, min(keys), max(keys))
+        return None if near is None else near.where(F.col(f"`{t.key}`").isin(keys))
 
     def insert(self, t: Table, rows: list[tuple]) -> None:
         """Rows of literals, all or none.
@@ -159,22 +166,34 @@ class Catalog:
         """
         if t.external is not None:
             raise DialectError(M.READ_ONLY.format(t.name))
+        zone = None
         if t.key:
             at = [c.name for c in t.columns].index(t.key)
             keys = [r[at] for r in rows]
-            if len(set(keys)) < len(keys) or not self.stored(t, keys).isEmpty():
+            known = None if len(set(keys)) < len(keys) else self.stored(t, keys)
+            if len(set(keys)) < len(keys) or known is not None and not known.isEmpty():
                 raise DialectError(M.DUPLICATE_KEY)
-        self._add("insert", t, self.spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], T.StructType([f for f in t.schema.fields if f.name != STMT])))
+            zone = [min(keys), max(keys)]
+        self._add("insert", t, self.spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], T.StructType([f for f in t.schema.fields if f.name != STMT])), zone=zone)
 
-    def append(self, t: Table, rows: DataFrame, keys: str | None) -> None:
-        """All rows (with SEQ) or none.  keys: the key column if it must be checked.
+    def insert_range(self, t: Table, rows: DataFrame, low: int, high: int) -> None:
+        """Made rows (with SEQ) that have each key of a range once."""
+        if t.key:
+            known = self.keys_between(t, low, high)
+            if known is not None and not known.isEmpty():
+                raise DialectError(M.DUPLICATE_KEY)
+        # texts and keys that hardly repeat: no dictionaries, differences to the value before
+        self._add("insert", t, rows, zone=[low, high], options={"parquet.enable.dictionary": "false", "parquet.writer.version": "v2"})
+
+    def append(self, t: Table, rows: DataFrame) -> None:
+        """All rows (with SEQ) or none.
 
         The batch is written first and its keys are read back, so the rows are
         computed once; a batch that fails the check is never committed.
         """
         if t.external is not None:
             raise DialectError(M.READ_ONLY.format(t.name))
-        self._add("insert", t, rows, keys)
+        self._add("insert", t, rows, check=True)
 
     def insert_frame(self, name: str, df: DataFrame) -> None:
         """Rows of a DataFrame by position, with the rules of INSERT: defaults for NULL, cut texts, unique keys."""
@@ -188,9 +207,9 @@ class Catalog:
                 raise DialectError(dict(int=M.NEEDS_INTEGER, float=M.NEEDS_NUMBER, str=M.NEEDS_TEXT)[want])
             value = with_defaults(F.col(f"`{f.name}`").cast(spark_type(c)), want)
             chosen.append((cut_column(value, c.length) if want == "str" else value).alias(c.name))
-        self.append(t, df.select(*chosen, F.monotonically_increasing_id().alias(SEQ)), t.key)
+        self.append(t, df.select(*chosen, F.monotonically_increasing_id().alias(SEQ)))
 
-    def _add(self, op: str, t: Table, rows: DataFrame, keys: str | None = None, options: dict[str, str] | None = None) -> None:
+    def _add(self, op: str, t: Table, rows: DataFrame, check: bool = False, zone: list[int] | None = None, options: dict[str, str] | None = None) -> None:
         # batches follow each other in the order of their statements
         rows = rows if op == "replace" else rows.withColumn(STMT, F.lit(self.entry + 1).cast("long")).select(*t.schema.names)
         folder = f"{t.name.lower()}/{uuid.uuid4().hex}"
@@ -198,26 +217,21 @@ class Catalog:
             rows.write.options(**(options or {})).parquet(f"{self.warehouse}/{folder}")
         else:
             rows = rows.persist()
-        if keys:
-            new = self.spark.read.schema(t.schema).parquet(f"{self.warehouse}/{folder}") if self.files else rows
-            if not self._unique(t, new, keys):
+        if check and t.key:
+            new = (self.spark.read.schema(t.schema).parquet(f"{self.warehouse}/{folder}") if self.files else rows).select(f"`{t.key}`")
+            low, high = new.agg(F.min(new[0]), F.max(new[0])).first()
+            zone = None if low is None else [low, high]
+            near = zone and self.keys_between(t, low, high)
+            if not (pk_violations(new, t.key) if near is None else pk_conflicts(new, near, t.key)).isEmpty():
                 self.files.delete(folder) if self.files else rows.unpersist()
                 raise DialectError(M.DUPLICATE_KEY)
-        if self.files:
-            self._commit(op=op, table=t.name, batches=[folder])
-            return
-        if op == "replace":
-            self._retire(t)
-        t.frames = [rows] if op == "replace" else [*t.frames, rows]
-        self._commit(op=op, table=t.name, batches=[])
-
-    def _unique(self, t: Table, new: DataFrame, key: str) -> bool:
-        """Are the new keys distinct, and none of them stored?  Only stored keys of their range are read."""
-        low, high = new.agg(F.min(f"`{key}`"), F.max(f"`{key}`")).first()
-        if low is None:
-            return True
-        near = self.frame(t).where((F.col(f"`{key}`") >= low) & (F.col(f"`{key}`") <= high))
-        return pk_conflicts(new, near, key).isEmpty()
+        if op == "replace" and t.zones and all(t.zones):
+            zone = [min(z[0] for z in t.zones), max(z[1] for z in t.zones)]
+        if not self.files:
+            if op == "replace":
+                self._retire(t)
+            t.frames = [rows] if op == "replace" else [*t.frames, rows]
+        self._commit(op=op, table=t.name, batches=[folder] if self.files else [], keys=zone)
 
     # --- maintenance ---
 

@@ -207,9 +207,13 @@ def test_cache_is_bounded_by_bytes(spark):
 def test_insert_reads_only_what_its_keys_may_be_in(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}")
     engine.exec("CREATE TABLE T (N TEXT, ID INT PRIMARY KEY); INSERT INTO T VALUES ('a', 1), ('b', 2)")
-    plan = engine.catalog.stored(engine.catalog.get("T"), [5, 7])._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(ID,5)" in plan and "LessThanOrEqual(ID,7)" in plan and "In(ID, [5,7])" in plan and "ReadSchema: struct<ID:bigint>" in plan
+    table = engine.catalog.get("T")
+    plan = engine.catalog.stored(table, [2, 7])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ID,2)" in plan and "LessThanOrEqual(ID,7)" in plan and "In(ID, [2,7])" in plan and "ReadSchema: struct<ID:bigint>" in plan
+    assert engine.catalog.stored(table, [5, 7]) is None  # the log tells what keys a batch has
     engine.exec("INSERT INTO T VALUES ('c', 7)")
+    assert {f.split("/")[-2] for f in engine.catalog.stored(table, [6, 9]).inputFiles()} == {table.batches[1].split("/")[1]}
+    assert [Engine(spark, f"file://{tmp_path}").catalog.get("T").zones, engine.catalog.get("T").zones] == [[[1, 2], [7, 7]]] * 2
     assert refused(engine, "INSERT INTO T VALUES ('d', 8), ('e', 7)") == "duplicate primary key"
     engine.catalog.compact(engine.catalog.get("T"))
     assert refused(engine, "INSERT INTO T VALUES ('d', 2)") == "duplicate primary key"
