@@ -9,13 +9,14 @@ table (the driver holds scalars only).
 A document is taken floor(rate) times, plus once more with the fraction of the
 rate as probability.  These Bernoulli draws are not independent, or a source of
 few documents would miss its target by far.  The documents of a source are
-dealt to bins of about equal size (bin borders grow with the square root), and
-with one seeded offset per source a bin takes
-floor((before + n) * fraction + offset) - floor(before * fraction + offset) of
-its n documents: those with the smallest seeded hashes.  Each document is still
-taken with the fraction as probability, and a source's total is off by about
-one document.  The hash that a bin still takes is found in two levels (counts
-of 1,024 slices of the hash, then the one slice where the count is reached),
+dealt to bins of about equal size (bin borders grow with the square root), from
+the largest to the smallest.  A bin takes fraction * n of its n documents plus
+what makes up for the words that the bins before took too many or too few,
+rounded by a seeded offset: those with the smallest seeded hashes.  As the
+rounding is fair and errors are made up for, each document is still taken with
+the fraction as probability, and a source's total is off by about one of its
+smaller documents.  The hash that a bin still takes is found in two levels (counts
+of 256 slices of the hash, then the one slice where the count is reached),
 so no task holds a whole bin and applying the draw needs no shuffle of texts.
 """
 
@@ -32,7 +33,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 100_000
 SALTS = 64
 #: Draws are whole numbers below 2**52, from the first 13 hexadecimal digits of an MD5.
-DIGITS, SLICE_BITS = 13, 42
+DIGITS, SLICE_BITS = 13, 44
 
 
 def _number(text: Column) -> Column:
@@ -79,13 +80,21 @@ def source_rates(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...]
 def plan_mix(sized: DataFrame, scratch: Scratch, weights: tuple[float, ...] = WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """For each skey and bin: source_size, target, rate, and last, the largest draw that is taken once more."""
     rates = source_rates(sized, scratch, weights, budget, cap).withColumn("skey", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).drop("source")
-    slices = scratch.save(sized.groupBy("skey", "bin", F.shiftright("draw", SLICE_BITS).alias("slice")).agg(F.count(F.lit(1)).alias("n")), "slices")
-    bins = slices.groupBy("skey", "bin").agg(F.sum("n").alias("n")).join(rates, "skey")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("skey").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    slices = scratch.save(sized.groupBy("skey", "bin", F.shiftright("draw", SLICE_BITS).alias("slice")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "slices")
+    bins = slices.groupBy("skey", "bin").agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
     fraction = F.col("rate") - F.floor("rate")
-    offset = _number(F.concat(F.lit(str(seed)), F.col("skey"))) / float(1 << 52)
-    bins = bins.withColumn("before", before).withColumn("take", (F.floor((F.col("before") + F.col("n")) * fraction + offset) - F.floor(F.col("before") * fraction + offset)).cast("long"))
-    bins = scratch.save(bins.drop("before"), "bins")
+
+    def take(done: Column, b: Column) -> Column:
+        """What one more bin takes, and the words then owed; a source has as many bins as its longest text's square root."""
+        mean = b["words"].cast("double") / b["n"]
+        offset = _number(F.concat(F.lit(str(seed)), F.col("skey"), F.lit(":"), b["bin"].cast("string"))) / float(1 << 52)
+        want = fraction * b["n"] + F.when(mean > 0, done["owed"] / mean).otherwise(0.0)
+        k = F.greatest(F.least(F.floor(want + offset), b["n"]), F.lit(0)).cast("long")
+        return F.struct((done["owed"] + fraction * b["words"] - k * mean).alias("owed"), F.concat(done["takes"], F.array(F.struct(b["bin"].alias("bin"), k.alias("take")))).alias("takes"))
+
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<bin:bigint,take:bigint>>").alias("takes"))
+    by_source = bins.groupBy("skey").agg(F.sort_array(F.collect_list(F.struct("bin", "n", "words")), asc=False).alias("b")).join(rates, "skey")
+    bins = scratch.save(by_source.select("skey", "source_size", "target", "rate", F.explode(F.aggregate("b", start, take)["takes"]).alias("t")).select("skey", "source_size", "target", "rate", "t.*"), "bins")
     own = Window.partitionBy("skey", "bin").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     reached = slices.join(bins.where("take > 0").select("skey", "bin", "take"), ["skey", "bin"]).withColumn("before", F.coalesce(F.sum("n").over(own), F.lit(0))).where("before < take and take <= before + n")
     reached = scratch.save(reached.select("skey", "bin", "slice", (F.col("take") - F.col("before")).alias("place")), "reached")
@@ -143,7 +152,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
   CAST('0x' || substr(md5('20240117:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS draw FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
 w AS (SELECT *, CAST([3, 1, 2][place % 3 + 1] AS DOUBLE) AS weight, CAST(2 * source_size AS DOUBLE) AS lim, CAST(2 * source_size AS DOUBLE) / [3, 1, 2][place % 3 + 1] AS stop FROM s),
@@ -151,10 +160,13 @@ q AS (SELECT 0.0::DOUBLE AS used, sum(weight) AS free, min(stop) AS next FROM w
   SELECT sum(lim) OVER o, sum(weight) OVER () - sum(weight) OVER o, lead(stop) OVER (ORDER BY stop, place) FROM w WINDOW o AS (ORDER BY stop, place ROWS UNBOUNDED PRECEDING)),
 l AS (SELECT ((SELECT 1.5::DOUBLE * CAST(sum(source_size) AS DOUBLE) FROM s) - used) / free AS level FROM q WHERE free > 0 AND ((SELECT 1.5::DOUBLE * CAST(sum(source_size) AS DOUBLE) FROM s) - used) / free < next ORDER BY free DESC LIMIT 1),
 r AS (SELECT source, source_size, coalesce(least(lim, weight * (SELECT level FROM l)), lim) AS target FROM w),
-f AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate, CAST('0x' || substr(md5('20240117' || coalesce('=' || source, '')), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM r),
-b AS (SELECT source, floor(sqrt(size) * 4) AS bin, count(*) AS n FROM d GROUP BY ALL),
-c AS (SELECT b.*, coalesce(sum(n) OVER (PARTITION BY source ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM b),
-k AS (SELECT c.source, c.bin, source_size, target, rate, floor((before + n) * (rate - floor(rate)) + u) - floor(before * (rate - floor(rate)) + u) AS take FROM c JOIN f ON c.source IS NOT DISTINCT FROM f.source),
+f AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM r),
+b AS (SELECT source, CAST(floor(sqrt(size) * 4) AS BIGINT) AS bin, CAST(count(*) AS DOUBLE) AS n, CAST(sum(size) AS DOUBLE) AS words FROM d GROUP BY ALL),
+c AS (SELECT coalesce('=' || b.source, '') AS skey, b.*, words / n AS mean, rate - floor(rate) AS f, row_number() OVER (PARTITION BY b.source ORDER BY bin DESC) AS i,
+  CAST('0x' || substr(md5('20240117' || coalesce('=' || b.source, '') || ':' || bin), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM b JOIN f ON b.source IS NOT DISTINCT FROM f.source),
+e AS (SELECT skey, i, bin, greatest(least(floor(f * n + u), n), 0) AS take, f * words - greatest(least(floor(f * n + u), n), 0) * mean AS owed FROM c WHERE i = 1 UNION ALL
+  SELECT c.skey, c.i, c.bin, greatest(least(floor(f * n + CASE WHEN mean > 0 THEN owed / mean ELSE 0 END + u), n), 0), owed + f * words - greatest(least(floor(f * n + CASE WHEN mean > 0 THEN owed / mean ELSE 0 END + u), n), 0) * mean FROM e JOIN c ON c.skey = e.skey AND c.i = e.i + 1),
+k AS (SELECT f.source, e.bin, source_size, target, rate, take FROM e JOIN f ON e.skey = coalesce('=' || f.source, '')),
 o AS (SELECT doc_id, size, source_size, target, rate, take, rank() OVER (PARTITION BY k.source, k.bin ORDER BY draw) AS place FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source AND floor(sqrt(size) * 4) = k.bin)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST((floor(rate) + (place <= take)::INT) * size AS BIGINT) AS taken, CAST(floor(rate) + (place <= take)::INT AS BIGINT) AS copies FROM o
 """
