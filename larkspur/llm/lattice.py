@@ -38,7 +38,7 @@ COSINE = 0.93
 STEPS = ((50_000, 2, 0.55, 3, 12), (500_000, 3, 0.5, 4, 20), (5_000_000, 3, 0.55, 4, 29), (1 << 62, 4, 0.45, 4, 32))
 SEED = 11
 #: Members of a cell that one task compares at once; numbers of a matrix of vectors that it multiplies at once.
-PART, NUMBERS = 512, 1 << 22
+PART, NUMBERS = 256, 1 << 22
 #: Members from which on a cell is compared as one matrix product.
 DENSE = 24
 
