@@ -24,9 +24,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.blocks import tidy
+from larkspur.llm.blocks import dealt, tidy
 from larkspur.llm.scratch import Scratch
 
 #: Labelled documents that training reads, half of either label.
@@ -39,7 +39,7 @@ FALSE_WORDS, LEAST = 0.1, 3
 #: Factors that make several hashes of one.
 PRINTS = (1, 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: Kinds of beginnings (four letters) and endings (three), by hash; words whose code a task remembers; characters of a text split into words at once.
-BEGINNINGS, ENDINGS, REMEMBERED, PIECE = 2048, 512, 400_000, 1 << 20
+BEGINNINGS, ENDINGS, REMEMBERED, PIECE = 2048, 512, 150_000, 1 << 20
 #: Steps of a chain that are taken for many stretches at once, and stretches at once.
 STRETCH, STRETCHES = 64, 4096
 
@@ -242,6 +242,18 @@ class Chain:
             codes, held = [], 0
         return out
 
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Weights of highest marginal and log of their sum by the labels; a figure that would speak against toxicity is left out."""
+        weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y)
+        used = [0, 1]
+        while used:
+            w = logistic(np.concatenate([np.ones((len(x), 1)), x[:, used]], axis=1), y, weight, ridge=1.0)
+            if (w[1:] > 0).all():
+                self.document = np.zeros(3)
+                self.document[[0, *(1 + u for u in used)]] = w
+                return
+            used.remove(used[int(np.argmin(w[1:]))])
+
     def score(self, total: float, top: float) -> float:
         return float(1 / (1 + np.exp(-(self.document @ [1.0, top, np.log1p(total)]))))
 
@@ -261,7 +273,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Chain:
-    """A trained chain; without labelled rows of both kinds one that scores every text the same, below 0.5.
+    """A trained chain; without labelled rows of both kinds, or words that tell them apart, one that scores every text the same, below 0.5.
 
     Defined results: rows with a null id or label, or another label than 0 and
     1, teach nothing; a null text is an empty one; other columns are ignored.
@@ -288,9 +300,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     # near copies share one of a few smallest hashes of three words, and count as one document
     known = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("label").cast("int").alias("label"))
-    shared = known.select("doc_id", "text").mapInArrow(tidy(prints), "doc_id long, salt int, print long")
-    family = shared.withColumn("family", F.min("doc_id").over(Window.partitionBy("salt", "print"))).groupBy("doc_id").agg(F.min("family").alias("family"))
-    family = scratch.save(family, "families")  # at most `sample` rows
+    shared = scratch.save(known.select("doc_id", "text").mapInArrow(tidy(prints), "doc_id long, salt int, print long"), "prints")
+    # both tables that are broadcast have a few rows for each of at most `sample` documents
+    first = F.broadcast(shared.groupBy("salt", "print").agg(F.min("doc_id").alias("family")))
+    family = scratch.save(shared.join(first, ["salt", "print"]).groupBy("doc_id").agg(F.min("family").alias("family")), "families")
     by_word = known.mapInArrow(tidy(held), "doc_id long, word string, label int").join(F.broadcast(family), "doc_id").select("word", "label", "family").distinct()
     seen = by_word.groupBy("word").agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("c"))
     families = dict(known.join(F.broadcast(family), "doc_id").select("label", "family").distinct().groupBy("label").count().collect())
@@ -302,6 +315,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     surprise = F.col("t") * F.log(F.col("t") / n / q) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / n / (1 - q))).otherwise(0.0)
     chosen = seen.where((F.col("t") >= LEAST) & (odds > np.log(6)) & (surprise > np.log(max(1, seen.count()) / FALSE_WORDS))).select("word").collect()
     model = Chain.over({w: i for i, w in enumerate(sorted(r["word"] for r in chosen))})
+    if not model.lexicon:  # nothing tells the two labels apart
+        scratch.close()
+        return model
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,8 +358,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     got = over(figures, "label int, total double, top double")
     y = np.array([r["label"] for r in got], float)
-    x = np.array([[1.0, r["top"], np.log1p(r["total"])] for r in got])
-    model.document = logistic(x, y, np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum()) * len(y), ridge=1.0)
+    model.calibrate(np.array([[r["top"], np.log1p(r["total"])] for r in got]), y)
     scratch.close()
     return model
 
@@ -367,7 +382,7 @@ def score_documents(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_
                 pa.array([[{"begin": a, "end": b} for a, b in s] for _, _, s in got], span),
             ], ["doc_id", "score", "n_toxic_tokens", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "doc_id long, score double, n_toxic_tokens long, spans array<struct<begin:int,end:int>>")
+    return dealt(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(tidy(run), "doc_id long, score double, n_toxic_tokens long, spans array<struct<begin:int,end:int>>")
 
 
 def drop_toxic(docs: DataFrame, model: Chain, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -384,7 +399,7 @@ def drop_toxic(docs: DataFrame, model: Chain, text_col: str = "text", threshold:
         for batch in batches:
             yield batch.filter(pa.array([m.score(a, b) < threshold for a, b, _ in m.read([t.as_py() or "" for t in batch.column(at)])], pa.bool_()))
 
-    return docs.mapInArrow(tidy(run), docs.schema)
+    return dealt(docs).mapInArrow(tidy(run), docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
