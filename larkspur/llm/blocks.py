@@ -74,6 +74,17 @@ def tidy_group(f: Callable[[pa.Table], pa.Table]) -> Callable:
     return run
 
 
+#: Bytes of input per core below which rows are dealt out: Spark does not split less, and a small file is one row group.
+SMALL = 4 << 20
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt to all cores if the table is small; larger ones stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if size < cores * SMALL else rows
+
+
 class Block:
     """ids ascending (nulls last), null marks, offsets into buf."""
 
@@ -168,7 +179,8 @@ def grouped(df: DataFrame, f: Callable[[int, dict[int, list[tuple[int, int, byte
 
 
 def buckets_for(size: int) -> int:
-    return max(1, -(-size // BUCKET_BYTES))
+    """Never fewer than 16, so that small inputs use several tasks too."""
+    return max(16, -(-size // BUCKET_BYTES))
 
 
 def bucket_of(hashes: np.ndarray, count: int) -> np.ndarray:
@@ -188,6 +200,16 @@ def stretches(sorted_keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield from zip(sorted_keys[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(sorted_keys)], strict=True)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending, by a sort (numpy's unique hashes them, which takes far longer)."""
+    out = np.sort(values)
+    if len(out):
+        new = np.ones(len(out), bool)
+        new[1:] = out[1:] != out[:-1]
+        out = out[new]
+    return out
+
+
 # --- which units does more than one block hold? -------------------------------
 
 
@@ -203,7 +225,7 @@ def answer_shared(tag: int, reply: int) -> Callable:
     def f(bucket: int, by: dict) -> Iterator[Row]:
         sent = [(src, np.frombuffer(data, np.uint64)) for src, _, data in by.get(tag, [])]
         every = np.sort(np.concatenate([x for _, x in sent]))
-        twice = np.unique(every[1:][every[1:] == every[:-1]])
+        twice = distinct(every[1:][every[1:] == every[:-1]])
         for src, x in sent:
             at = np.minimum(np.searchsorted(twice, x), max(0, len(twice) - 1))
             hit = twice[at] == x if len(twice) else np.zeros(len(x), bool)
