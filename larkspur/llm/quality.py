@@ -23,7 +23,7 @@ from larkspur.llm.scratch import Scratch
 from larkspur.llm.toxicity import held_out, logistic, training_rows
 
 SAMPLE, PAIRS, BINS, THRESHOLD = 6_000, 30_000, 12, 0.3
-FEATURES = ("words", "word length", "distinct words", "digits", "capitals", "signs", "distinct lines", "white space", "non-ASCII", "letters", "bars", "distinct pairs")
+FEATURES = ("words", "word length", "distinct words", "digits", "capitals", "signs", "distinct lines", "white space", "non-ASCII", "letters", "most frequent sign", "distinct pairs")
 _CLASS = np.zeros((6, 256))
 _CLASS[0, 48:58] = _CLASS[1, 65:91] = _CLASS[3, [9, 10, 11, 12, 13, 32]] = _CLASS[4, 128:] = 1
 _CLASS[5, [*range(65, 91), *range(97, 123)]] = 1
@@ -37,10 +37,11 @@ def statistics(text: str) -> list[float]:
     if not words:
         return [0.0] * len(FEATURES)
     n, count = len(raw), len(words)
-    share = _CLASS @ np.bincount(np.frombuffer(raw, np.uint8), minlength=256) / n
+    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    share = _CLASS @ counts / n
     lines = [x for x in raw.split(b"\n") if x.strip()]
     pairs = set(zip(words, words[1:]))  # noqa: B905
-    return [np.log1p(count), (n - share[3] * n) / count, len(set(words)) / count, share[0], share[1], share[2], len(set(lines)) / len(lines), share[3], share[4], share[5], raw.count(b"|") / count, (len(pairs) + 1) / count]
+    return [np.log1p(count), (n - share[3] * n) / count, len(set(words)) / count, share[0], share[1], share[2], len(set(lines)) / len(lines), share[3], share[4], share[5], float((counts * _CLASS[2]).max()) / count, (len(pairs) + 1) / count]
 
 
 @dataclass
