@@ -32,6 +32,19 @@ ASK, SHARED, WINDOWS, FIRST = 1, 2, 3, 4
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
+def same_windows(key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that puts equal windows side by side, earlier places first; which of them begin a group."""
+    order = np.argsort(key, kind="stable")
+    for _ in range(2):
+        k, c = key[order], check[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        if not (new[1:] & (k[1:] == k[:-1])).any():
+            break
+        order = np.lexsort((check, key))  # the first hashes of different windows collide
+    return order, new
+
+
 class Windows:
     """A block's words, its anchors, and the windows that hold a repeated one."""
 
@@ -64,10 +77,7 @@ class Windows:
         self.start = start[marked[start + PERIOD] > marked[start]]
         self.key = self._hash(self.words, self.start, self.size)
         self.check = B.runs_of(self.more, self.start, self.size)
-        order = np.lexsort((self.start, self.check, self.key))
-        k, c = self.key[order], self.check[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        order, new = same_windows(self.key, self.check)
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.cumsum(new) - 1
         #: first occurrence in the block (smallest document, smallest start) of each distinct window, by hash
@@ -94,7 +104,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count = B.buckets_for(total)
 
     def ask(k: int, _: int, data: bytes) -> Iterator[B.Row]:
-        yield from B.ask_shared(k, np.unique(Windows(B.Block.unpack(data), size, False).hash), count, ASK)
+        yield from B.ask_shared(k, B.distinct(Windows(B.Block.unpack(data), size, False).hash), count, ASK)
 
     shared = own.save(B.together(B.over(blocks, ask), B.answer_shared(ASK, SHARED)), "shared")
     own.drop()
@@ -116,12 +126,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             owner.append(np.frombuffer(d, np.int64, -1, 20 * n)[np.frombuffer(d, np.uint32, n, 16 * n)])
         who = np.repeat(np.arange(len(sent)), [n for _, n, _ in sent])
         key, check, owner = np.concatenate(key), np.concatenate(check), np.concatenate(owner)
-        order = np.lexsort((who, owner, check, key))
-        k, c = key[order], check[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        order, new = same_windows(key, check)
+        at, group = np.flatnonzero(new), np.cumsum(new) - 1
+        owner, who = owner[order], who[order]
+        # the smallest owner of each window, then the first block of it
+        who[owner != np.minimum.reduceat(owner, at)[group]] = len(sent)
         is_first = np.zeros(len(order), bool)
-        is_first[order[new]] = True
+        is_first[order[who == np.minimum.reduceat(who, at)[group]]] = True
         at = 0
         for src, n, _ in sent:
             yield src, FIRST, bucket, n, B.squeeze(np.packbits(is_first[at : at + n]).tobytes())
@@ -159,6 +170,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Operator 10 on all of ``documents``; nulls, repeated rows and other columns as :func:`remove_repeats` says."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
