@@ -116,9 +116,9 @@ def columns(pieces: np.ndarray, starts: int, length: int) -> Iterator[tuple[int,
         same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
         lo, hi = move[same - 1] + 1, move[same] + 1
         level = np.floor(np.log2(hi - lo)).astype(np.int64)
-        for k in np.unique(level):
+        for k in np.flatnonzero(np.bincount(level)).tolist():
             x = level == k
-            new[same[x]] = np.minimum(least[k][lo[x]], least[k][hi[x] - (1 << int(k))])
+            new[same[x]] = np.minimum(least[k][lo[x]], least[k][hi[x] - (1 << k)])
         new[same] = np.minimum(new[same] + 1, length)
         order, common = order[move], new
         if column < starts:
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     count, room = B.buckets_for(size), length - kmer
 
     def ask(k: int, _: int, data: bytes) -> Iterator[B.Row]:
-        yield from B.ask_shared(k, np.unique(Pieces(B.Block.unpack(data), length, kmer).hash), count, ASK)
+        yield from B.ask_shared(k, B.distinct(Pieces(B.Block.unpack(data), length, kmer).hash), count, ASK)
 
     shared = own.save(B.together(B.over(blocks, ask), B.answer_shared(ASK, SHARED)), "shared")
     own.drop()
@@ -270,5 +270,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """Operator 4 on all of ``documents``; nulls, repeated rows and other columns as :func:`remove_repeats` says."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
