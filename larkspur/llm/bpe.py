@@ -16,6 +16,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -47,6 +48,21 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class Known(dict):
+    """Ids of short chunks, remembered."""
+
+    def __init__(self, e: Encoder):
+        self.e = e
+
+    def __missing__(self, chunk: str) -> tuple[int, ...] | list[int]:
+        found, one = self.e.chunk_ids(chunk), self.e.one
+        if len(chunk) <= 32:
+            if len(self) >= CACHE:
+                self.clear()
+            found = self[chunk] = one[found[0]] if len(found) == 1 else tuple(one[i][0] for i in found)
+        return found
+
+
 class Encoder:
     """A byte-level BPE vocabulary file as encoder and decoder."""
 
@@ -60,6 +76,7 @@ class Encoder:
         n = max(raw) + 1
         self.tokens = [raw.get(i, b"") for i in range(n)]
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in self.tokens])]).astype(np.int64)
+        self.sizes = np.diff(self.offsets)
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
         vocab = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -91,7 +108,7 @@ class Encoder:
         self.decimal = [str(i) for i in range(n)]
         #: one object per id and per single token, for all that is remembered
         self.one = [(i,) for i in range(n)]
-        self.ids: dict[str, tuple[int, ...]] = {}
+        self.known = Known(self)
 
     def pair(self, a: int, b: int) -> bool:
         """Would a and b side by side stay as they are?
@@ -157,7 +174,7 @@ class Encoder:
             token = shorter[token]
         return out
 
-    def _chunk(self, chunk: str) -> list[int]:
+    def chunk_ids(self, chunk: str) -> list[int]:
         if chunk.isascii():
             # letters alone, or after one space, are a single pre-token
             if chunk.isalpha() or (chunk[0] == " " and chunk[1:].isalpha()):
@@ -167,24 +184,15 @@ class Encoder:
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        known, get = self.ids, self.ids.get
         for i, part in enumerate(self.split.split(text) if self.split else [text]):
             if i % 2:
                 ids.append(self.special[part])
-                continue
-            for chunk in CHUNK.findall(part):
-                found = get(chunk)
-                if found is None:
-                    found = self._chunk(chunk)
-                    if len(chunk) <= 32:
-                        if len(known) >= CACHE:
-                            known.clear()
-                        known[chunk] = self.one[found[0]] if len(found) == 1 else tuple(self.one[i][0] for i in found)
-                ids += found
+            else:
+                ids.extend(chain.from_iterable(map(self.known.__getitem__, CHUNK.findall(part))))
         return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
-        start, size = self.offsets[ids], np.diff(self.offsets)[ids]
+        start, size = self.offsets[ids], self.sizes[ids]
         place = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
         return self.blob[place].tobytes()
 
@@ -235,7 +243,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(B.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return B.dealt(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInArrow(B.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def token_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None) -> DataFrame:

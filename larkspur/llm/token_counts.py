@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from larkspur.llm.blocks import dealt
 from larkspur.llm.bpe import default_tokenizer, encoder
 from larkspur.llm.scratch import Scratch
 
@@ -36,7 +37,7 @@ def lengths(docs: DataFrame, text_col: str = "text", tokenizer: str | None = Non
                 counts[n] = counts.get(n, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.int64()), pa.array(counts.values(), pa.int64())], ["n_tokens", "n_docs"])
 
-    return docs.select(text_col).mapInArrow(run, "n_tokens long, n_docs long")
+    return dealt(docs.select(text_col)).mapInArrow(run, "n_tokens long, n_docs long")
 
 
 def suffix_sums(partial: DataFrame) -> DataFrame:
